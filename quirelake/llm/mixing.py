@@ -42,7 +42,7 @@ def word_count(text):
 
 def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     """Seats by highest quotients votes / (2 s + 1), ties to the earlier entry, without listing
-    the quotients: a divisor is searched that gives at most ``seats``, the few left go one by one."""
+    the quotients: a divisor is searched that gives at most ``seats``; what is left goes to ties."""
     votes = np.maximum(np.asarray(votes, dtype=np.float64), 0.0)
     out = np.zeros(len(votes), np.int64)
     if seats <= 0 or not votes.sum() > 0:
@@ -55,16 +55,9 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
         if given(high).sum() == seats or high - low <= 1e-15 * high:
             break
     out = given(high).astype(np.int64)
-    left = seats - int(out.sum())
-    while left > 0:
-        quotient = votes / (2.0 * out + 1.0)
-        best = np.argsort(-quotient, kind="stable")[: max(1, min(left, len(votes) // 2))]
-        best = best[votes[best] > 0]
-        if len(best) > 1:  # give together only what one by one would give: each next quotient stays below the last of them
-            again = votes[best] / (2.0 * out[best] + 3.0)
-            best = best[: 1 + int(np.argmax(again >= quotient[best[-1]]))] if (again >= quotient[best[-1]]).any() else best
-        out[best] += 1
-        left -= len(best)
+    left = seats - int(out.sum())  # those that are left have quotients equal to the divisor: ties
+    best = np.argsort(-(votes / (2.0 * out + 1.0)), kind="stable")[:left]
+    out[best] += 1
     return out
 
 
