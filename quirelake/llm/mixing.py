@@ -52,7 +52,7 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     for _ in range(200):  # low gives at least the seats, high at most
         middle = (low + high) / 2
         low, high = (middle, high) if given(middle).sum() > seats else (low, middle)
-        if given(high).sum() == seats or high - low <= 1e-15 * high:
+        if given(high).sum() == seats or high - low <= 1e-12 * high:
             break
     out = given(high).astype(np.int64)
     left = seats - int(out.sum())  # those that are left have quotients equal to the divisor: ties
