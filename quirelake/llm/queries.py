@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, mixing, packing, urls
+from quirelake.llm import chat, mixing, packing, pii, urls
 from quirelake.session import ship, table
 
 
@@ -22,6 +22,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("segments", "text_hash")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -43,7 +47,7 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    return {q.__name__: _shipped(q) for q in (op3_packing, op4_mixing, op9_chat_format, op10_url_filter)}
+    return {q.__name__: _shipped(q) for q in (op3_packing, op4_mixing, op6_pii, op9_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
