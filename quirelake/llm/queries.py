@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, mixing, packing, pii, urls
+from quirelake.llm import chat, mixing, packing, pii, simhash, urls
 from quirelake.session import ship, table
 
 
@@ -14,6 +14,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(found.fp).alias("fingerprint"), "component_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
@@ -47,7 +52,7 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    return {q.__name__: _shipped(q) for q in (op3_packing, op4_mixing, op6_pii, op9_chat_format, op10_url_filter)}
+    return {q.__name__: _shipped(q) for q in (op1_simhash, op3_packing, op4_mixing, op6_pii, op9_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
