@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, mixing, packing, pii, simhash, urls
+from quirelake.llm import chat, mixing, packing, pii, simhash, substring, urls
 from quirelake.session import ship, table
 
 
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(found.fp).alias("fingerprint"), "component_id")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
@@ -52,8 +56,8 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    return {q.__name__: _shipped(q) for q in (op1_simhash, op3_packing, op4_mixing, op6_pii, op9_chat_format, op10_url_filter)}
+    return {q.__name__: _shipped(q) for q in (op1_simhash, op2_substring, op3_packing, op4_mixing, op6_pii, op9_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
+    return {"op2_substring": substring.ORACLE, "op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
