@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, mixing, packing, pii, quality, simhash, substring, urls
+from quirelake.llm import chat, media, mixing, packing, pii, quality, simhash, substring, urls
 from quirelake.session import ship, table
 
 
@@ -41,6 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, trusted).select("doc_id", "lang", "perplexity", "threshold", "keep")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -62,7 +66,7 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    return {q.__name__: _shipped(q) for q in (op1_simhash, op2_substring, op3_packing, op4_mixing, op6_pii, op7_quality, op9_chat_format, op10_url_filter)}
+    return {q.__name__: _shipped(q) for q in (op1_simhash, op2_substring, op3_packing, op4_mixing, op6_pii, op7_quality, op8_media, op9_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
