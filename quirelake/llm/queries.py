@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, media, mixing, packing, pii, quality, simhash, substring, urls
+from quirelake.llm import chat, embeddings, media, mixing, packing, pii, quality, simhash, substring, urls
 from quirelake.session import ship, table
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("segments", "text_hash")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -66,8 +70,8 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    return {q.__name__: _shipped(q) for q in (op1_simhash, op2_substring, op3_packing, op4_mixing, op6_pii, op7_quality, op8_media, op9_chat_format, op10_url_filter)}
+    return {q.__name__: _shipped(q) for q in (op1_simhash, op2_substring, op3_packing, op4_mixing, op5_embeddings, op6_pii, op7_quality, op8_media, op9_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.ORACLE, "op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
+    return {"op2_substring": substring.ORACLE, "op5_embeddings": embeddings.ORACLE, "op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
