@@ -188,7 +188,7 @@ def plan(fps: DataFrame, radius: int = RADIUS, group_counts=GROUP_COUNTS) -> tup
             projections += [bits, *[[b for b in bits if b != left] for left in bits]]
     moments = _sketches(fps, projections)
     found = []
-    for m, groups in layouts.items():
+    for m, groups in layouts.items():  # T = 2 at most: more groups where the radius is large
         costs = np.full((m, 4), np.inf)
         for g, bits in enumerate(groups):
             at, w = place[m, g], len(bits)
@@ -226,39 +226,51 @@ def entries(values: np.ndarray, groups: list[list[int]], thresholds: list[int])
 
 
 def stars(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(member, centre) pairs that join each set of linked values; a value is visited once and is held only against those not yet reached."""
+    """Links that join each set of linked values; a value is visited once and is held only against those not yet reached."""
     out, rest = [], np.unique(values)
     while len(rest) > 1:
-        centre, queue, rest = rest[0], [rest[0]], rest[1:]
+        queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
-            near = np.bitwise_count(rest ^ queue.pop()) <= radius
+            at = queue.pop()
+            near = np.bitwise_count(rest ^ at) <= radius
             if near.any():
                 reached, rest = rest[near], rest[~near]
                 queue.extend(reached)
-                out += [(int(r), int(centre)) for r in reached]
+                out += [(int(r), int(at)) for r in reached]
     return out
 
 
-_SMALL = 12
+_SMALL, _MIDDLE = 12, 512
 
 
 def bucket_links(signatures: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within equal signatures: small buckets by shifted comparison of the whole array, large ones by ``stars``."""
+    """Links within equal signatures. Buckets up to ``_MIDDLE`` are compared by shifting the whole array; small
+    ones give their links, the others those that ``stars`` finds among values with a link. Larger ones go to ``stars`` as they are."""
     order = np.lexsort((values, signatures))
     s, v = signatures[order], values[order]
+    distinct = np.concatenate([[True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])]) if len(s) else np.zeros(0, bool)
+    s, v = s[distinct], v[distinct]
     if len(s) < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     size = np.diff(np.concatenate([first, [len(s)]]))
-    small = np.repeat(size <= _SMALL, size)
-    a, b = [], []
-    sv, ss = v[small], s[small]
-    for d in range(1, min(_SMALL, len(sv))):
-        hit = (ss[d:] == ss[:-d]) & (np.bitwise_count(sv[d:] ^ sv[:-d]) <= radius) & (sv[d:] != sv[:-d])
-        a.append(sv[d:][hit])
-        b.append(sv[:-d][hit])
-    for at, n in zip(first[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-        found = stars(v[at : at + n], radius)
+    end, small = np.repeat(first + size, size), np.repeat(size <= _SMALL, size)
+    a, b, linked = [], [], np.zeros(len(s), bool)
+    live, d = np.flatnonzero(np.repeat((size <= _MIDDLE) & (size > 1), size)), 0
+    while len(live):
+        d += 1
+        live = live[live + d < end[live]]
+        hit = live[np.bitwise_count(v[live] ^ v[live + d]) <= radius]
+        linked[hit] = linked[hit + d] = True
+        own = hit[small[hit]]
+        a.append(v[own + d])
+        b.append(v[own])
+    linked |= np.repeat(size > _MIDDLE, size)
+    linked &= ~small
+    where = np.flatnonzero(linked)
+    edges = np.searchsorted(where, np.concatenate([first, [len(s)]]))
+    for i in np.flatnonzero(np.diff(edges) > 1).tolist():
+        found = stars(v[where[edges[i] : edges[i + 1]]], radius)
         if found:
             pair = np.array(found, np.uint64)
             a.append(pair[:, 0])
@@ -266,9 +278,9 @@ def bucket_links(signatures: np.ndarray, values: np.ndarray, radius: int) -> tup
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def link_fingerprints(fps: DataFrame, radius: int = RADIUS, entries_per_slot: int = ENTRIES_PER_SLOT) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = RADIUS, entries_per_slot: int = ENTRIES_PER_SLOT, group_counts=GROUP_COUNTS) -> DataFrame:
     """Links a, b that join all distinct fingerprints (column fp) within the radius of each other."""
-    groups, thresholds, n = plan(fps, radius)
+    groups, thresholds, n = plan(fps, radius, group_counts)
     per_value = sum((0 if t < 0 else 1 if t == 0 else 1 + len(g) / 2 if t == 1 else 1 + len(g)) for g, t in zip(groups, thresholds, strict=True))
     slots = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n * per_value / entries_per_slot) + 1)
 
@@ -289,7 +301,7 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, entries_per_slot: in
             if len(batch):
                 held.append(np.ascontiguousarray(batch["fp"].to_numpy(np.int64)).view(np.uint64))
                 size += len(batch)
-            if size >= 200_000:
+            if size * per_value >= 2_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -318,5 +330,51 @@ def near_duplicates(
     return marked.join(named, "fp").select(F.col("k").alias(id_col), "fp", "component_id", *(extra or []))
 
 
+def _similar(a: str | None, b: str | None, width: int) -> float:
+    """Jaccard similarity of two texts' sets of word shingles."""
+    sets = []
+    for text in (a, b):
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        sets.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    union = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / union if union else 1.0
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 10, similarity: float = 0.8,
+    group_counts=(4, 5, 6),
+) -> DataFrame:
+    """``docs`` without all but one document of each group: the one with the smallest id (nulls last).
+
+    A group is joined by links between fingerprints within the radius whose texts, one for each fingerprint, have
+    shingle sets of at least the given similarity; equal fingerprints form one group without that check where their texts
+    are equal, and are checked against the fingerprint's first text otherwise.
+    """
+    columns = docs.columns
+    rows = docs.withColumns({"_fp": fingerprint_column(F.col(text_col), width), "_th": F.xxhash64(text_col)})
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "marked-documents")
+    narrow = rows.select("_fp", "_th", "_row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("k"), F.col("_row").alias("r")).alias("o"))
+    texts = cut(narrow.groupBy("_fp", "_th").agg(F.min("o").alias("o")), "distinct-texts")
+    # one node for each distinct text; the first text of a fingerprint stands for it
+    firsts = cut(texts.groupBy("_fp").agg(F.min("o").alias("o")).select(F.col("_fp").alias("fp"), F.col("o.r").alias("row")), "first-texts")
+    near = link_fingerprints(firsts, radius, group_counts=group_counts)
+    pairs = near.join(firsts.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b").select("ra", "rb")
+    same = texts.join(firsts, texts["_fp"] == firsts["fp"]).where(F.col("o.r") != F.col("row")).select(F.col("row").alias("ra"), F.col("o.r").alias("rb"))
+    pairs = cut(pairs.unionByName(same).select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct(), "text-pairs")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_similar(x, y, width) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    needed = pairs.select(F.col("ra").alias("_row")).unionByName(pairs.select(F.col("rb").alias("_row"))).distinct()
+    held = cut(rows.select("_row", F.col(text_col).alias("t")).join(needed, "_row"), "compared-texts")
+    side = lambda p: held.select(F.col("_row").alias(f"r{p}"), F.col("t").alias(f"t{p}"))
+    links = pairs.join(side("a"), "ra").join(side("b"), "rb").where(alike("ta", "tb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    roots = cut(connected(links), "text-components")
+    nodes = texts.select("o", F.col("o.r").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = nodes.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.r").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*columns)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -122,3 +122,37 @@ def test_documents_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    draw = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(2000)]
+    base = [" ".join(draw.choice(words, 200)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i, t in enumerate(base[:20]):
+        near = t.split()
+        near[100] = "other"
+        rows += [(100 + i, " ".join(near)), (200 + i, t)]
+    rows += [(300 + i, " ".join(base[29].split()[:100] + list(draw.choice(words, 100)))) for i in range(5)]
+    rows += [(400, ""), (401, None), (402, " "), (403, "tiny"), (404, "tiny too"), (405, "tiny"), (None, base[0]), (7, base[7]), (7, base[7])]
+    got = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [*range(30), *range(300, 305), 400, 403, 404]
+
+
+def test_wide_radius_links(spark):
+    values = np.unique(np.array(_near_values(5, 500), np.uint64))
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    links = [(r.a % 2**64, r.b % 2**64) for r in simhash.link_fingerprints(df, 10, group_counts=(4, 5, 6)).collect()]
+    assert all((a ^ b).bit_count() <= 10 for a, b in links)
+    root = {int(v): int(v) for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = plain_components(values.tolist(), 10)
+    assert [find(v) for v in values.tolist()] == [int(values[w]) for w in want]
