@@ -23,32 +23,59 @@ from pyspark.sql import functions as F
 
 MAX_LEN = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+CACHE_BYTES = 64 << 20
+PART_CHARS = 2_000_000  # texts looked at together
+_TRAIL = b".,!?;:|*$%&#"
 
 _CACHES: dict[str, "WordIds"] = {}
 
 
 class WordIds(dict):
-    """word bytes -> its ids as little-endian unsigned 32-bit bytes."""
+    """word bytes -> its ids as little-endian unsigned 32-bit bytes, for the words seen last.
+
+    The tokenizer lower-cases and cuts between letters and punctuation, so an ASCII word gets its
+    ids from its lower-cased core and its trailing marks.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.held = Tokenizer.from_file(path), 0
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        value = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        words = [t.encode("utf-8").split() if t else [] for t in texts]
+        if len(self) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def ids(self, text: str | None) -> bytes:
-        words = text.encode("utf-8").split() if text else []
-        return b"".join(map(self.__getitem__, words))
+            self.held = 0
+        missing = [w for w in set().union(*words) if w not in self]
+        pairs = {}
+        for w in missing:
+            if w.isascii():
+                low = w.lower()
+                core = low.rstrip(_TRAIL)
+                if core != w and core[-1:].isalnum():
+                    pairs[w] = core, low[len(core) :]
+        self._encode({part for pair in pairs.values() for part in pair if part and part not in self} | {w for w in missing if w not in pairs})
+        for w, (core, trail) in pairs.items():
+            self[w] = self[core] + (self[trail] if trail else b"")
+        self.held += sum(map(len, missing))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
+
+    def _encode(self, words: set[bytes]) -> None:
+        """All words in one go; a token belongs to the word that holds its start."""
+        listed = [(w, w.decode("utf-8")) for w in words]
+        for at in range(0, len(listed), 20_000):
+            part = listed[at : at + 20_000]
+            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(t) + 1 for _, t in part])
+            tokens = np.array([o[0] for o in found.offsets], np.int64)
+            edges = (4 * np.searchsorted(tokens, starts)).tolist()
+            raw = np.array(found.ids, "<u4").tobytes()
+            for (w, _), first, last in zip(part, edges[:-1], edges[1:], strict=True):
+                self[w] = raw[first:last]
 
 
 def word_ids(path: str) -> WordIds:
@@ -57,6 +84,17 @@ def word_ids(path: str) -> WordIds:
     return _CACHES[path]
 
 
+def _parts(texts: list[str | None]) -> Iterator[slice]:
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= PART_CHARS:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def piece_lengths(total: int, max_len: int = MAX_LEN) -> list[int]:
     """Binary decomposition of ``total`` with pieces of at most ``max_len`` (a power of two)."""
     whole, rest = divmod(total, max_len)
@@ -76,18 +114,18 @@ def pack_documents(
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = word_ids(tokenizer_path)
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["k"], batch["t"], strict=True):
-                raw = vocabulary.ids(text) + end
-                total, at = len(raw) // 4, 0
-                for n in piece_lengths(total, max_len):
-                    part = raw[4 * at : 4 * (at + n)]
-                    rows.append((key, at, n, zlib.crc32(part), total, 0, part) if with_ids else (key, at, n, zlib.crc32(part), total, 0))
-                    at += n
-            names = ["k", "start", "length", "ids_crc32", "doc_tokens", "offset", *(["raw"] if with_ids else [])]
-            out = pd.DataFrame(rows, columns=names)
-            out["k"] = out["k"].astype(batch["k"].dtype)
-            if len(out):
+            texts = batch["t"].where(batch["t"].notna(), None).tolist()
+            for part in _parts(texts):
+                keys, rows = batch["k"].iloc[part], []
+                for i, raw in enumerate(vocabulary.texts(texts[part])):
+                    raw += end
+                    total, at = len(raw) // 4, 0
+                    for n in piece_lengths(total, max_len):
+                        piece = raw[4 * at : 4 * (at + n)]
+                        rows.append((i, at, n, zlib.crc32(piece), total, 0, piece)[: 6 + with_ids])
+                        at += n
+                out = pd.DataFrame(rows, columns=["i", "start", "length", "ids_crc32", "doc_tokens", "offset", "raw"][: 6 + with_ids])
+                out.insert(0, "k", keys.take(out.pop("i")).to_numpy())
                 yield out
 
     schema = f"k {id_type}, start long, length long, ids_crc32 long, doc_tokens long, offset long" + ", raw binary" * with_ids
