@@ -339,7 +339,7 @@ def remove_repeats(
 
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
-    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT r, i, array_to_string(w[i:i+34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
 dup AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
 hit AS (SELECT r, i FROM win WHERE s IN (SELECT s FROM dup)),
