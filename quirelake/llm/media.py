@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm import flac
 
-PART = 4 << 20
+PART = 1 << 20
 ALIGN = 64
 
 
