@@ -16,9 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (the driver serves the archive)."""
+    """Send this package to the executors once per application (the driver serves the archive), and bound
+    the batches that go to Python workers: at Spark's own 64 MB, long texts fill an executor's memory several times over."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "64m") in ("64m", "64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if getattr(sc, "_quirelake_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="quirelake-")) / "quirelake.zip"
