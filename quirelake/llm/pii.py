@@ -45,7 +45,7 @@ _EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[{_LABEL}]++\.[A-Za-z0-9.-]++"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9][0-9\x20-]++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 
@@ -189,3 +189,37 @@ def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     of = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda s: s["rank"] < len(BASE_KINDS))
     return found.select(id_col, *map(of, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
+def oracle() -> str:
+    """The query in DuckDB SQL, with the plain patterns. A social security number is a whole run of digits and hyphens."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "ssn": r"[0-9-]+",
+    }
+    digits = "regexp_replace(f, '[^0-9]', '', 'g')"
+    digit = f"CAST(substr({digits}, len({digits}) - j, 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(0, len({digits})), lambda j: CASE WHEN j % 2 = 0 THEN {digit} ELSE {digit} * 2 - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    plain = "replace(f, ' ', '')"
+    turned = f"(substr({plain}, 5) || substr({plain}, 1, 4))"
+    values = f"list_prepend(0, list_transform(string_split({turned}, ''), lambda c: CASE WHEN c >= 'A' THEN ord(c) - 55 ELSE ord(c) - 48 END))"
+    tests = {
+        "email": "true", "ip": "list_bool_and(list_transform(string_split(f, '.'), lambda p: len(ltrim(p, '0')) <= 3 AND lpad(ltrim(p, '0'), 3, '0') <= '255'))",
+        "card": f"len({digits}) BETWEEN 12 AND 19 AND {luhn}", "phone": f"len({digits}) BETWEEN 9 AND 15",
+        "iban": f"len({plain}) BETWEEN 15 AND 34 AND list_reduce({values}, lambda a, b: CASE WHEN b > 9 THEN (a * 100 + b) % 97 ELSE (a * 10 + b) % 97 END) = 1",
+        "ssn": "regexp_matches(f, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') AND f[1:3] NOT IN ('000', '666') AND f[1] <> '9' AND f[5:6] <> '00' AND f[8:11] <> '0000' "
+        + f"AND regexp_matches(substr(x, greatest(s - {WINDOW}, 0) + 1, s + len(f) + {WINDOW} - greatest(s - {WINDOW}, 0)), '{CONTEXT['ssn']}')",
+    }
+    found = " UNION ALL ".join(f"SELECT r, x, '{k}' AS kind, {i} AS rank, regexp_extract_all(x, '{p}') AS m, string_split_regex(x, '{p}') AS g FROM t" for i, (k, p) in enumerate(patterns.items()))
+    valid = " ".join(f"WHEN '{k}' THEN {v}" for k, v in tests.items())
+    span = "kind || ':' || s || ':' || (s + len(f))"
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}" for k in BASE_KINDS)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({found}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+p AS (SELECT r, x, kind, rank, m[i] AS f, CAST(list_sum(list_transform(g[1:i], lambda z: len(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: len(z))), 0) AS BIGINT) AS s FROM e),
+k AS (SELECT * FROM p WHERE CASE kind {valid} END)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({span}, ',' ORDER BY s, rank) FILTER (WHERE rank < {len(BASE_KINDS)}), '')) AS base_sha256,
+  coalesce(string_agg({span}, ',' ORDER BY s, rank), '') AS spans
+FROM t LEFT JOIN k ON k.r = t.r GROUP BY t.r, doc_id"""

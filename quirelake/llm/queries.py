@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.ORACLE, "op5_embeddings": embeddings.ORACLE, "op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
+    return {"op2_substring": substring.ORACLE, "op5_embeddings": embeddings.ORACLE, "op6_pii": pii.oracle(), "op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
