@@ -44,24 +44,46 @@ def merged(previous: Column, text: Column) -> Column:
     return F.when(F.coalesce(previous, F.lit("")) == "", text).when(whole, text).otherwise(F.concat(previous, text))
 
 
+_OUT = "struct<status:string,match_kind:string,content:string>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def _result(status: str, kind: Column, content: Column) -> Column:
+    return F.struct(F.lit(status).alias("status"), kind.alias("match_kind"), content.alias("content"))
+
+
+def _pass(state: Column) -> Column:
+    """One pass over struct<text, out>; a state with a result stays."""
+    null = F.lit(None).cast("string")
+
+    def judged(plain: Column) -> Column:
+        def with_match(match: Column) -> Column:
+            found = F.when(match.isNotNull(), _result("ok", match["kind"], match["content"])).when(plain.rlike(OPENING), _result("partial", null, plain))
+            return F.struct(F.regexp_replace(plain, r"\n{2,}", "\n").alias("text"), found.alias("out"))
+
+        return _let(first_match(plain), with_match)
+
+    return F.when(state["out"].isNull() & state["text"].isNotNull(), _let(without_fences(json_text(state["text"])), judged)).otherwise(state)
+
+
 def clean(frame: DataFrame, text_col: str, previous: Column | None = None, passes: int = 3, out_col: str = "cleaned") -> DataFrame:
-    """Adds struct<status, match_kind, content>. No passes: null input and everything else alike is ``null_input``."""
+    """Adds struct<status, match_kind, content>. No passes: null input and everything else alike is ``null_input``.
+
+    The passes fold over a state, so the expression stays small where a filter on the result is pushed down.
+    """
     text = F.col(text_col) if previous is None else merged(previous, F.col(text_col))
     null = F.lit(None).cast("string")
-    result = lambda status, kind, content: F.struct(F.lit(status).alias("status"), kind.alias("match_kind"), content.alias("content"))
-    frame = frame.withColumn("_text", text).withColumn("_out", F.lit(None).cast("struct<status:string,match_kind:string,content:string>"))
-    for _ in range(passes):
-        open_ = F.col("_out").isNull() & F.col("_text").isNotNull()
-        frame = frame.withColumn("_plain", F.when(open_, without_fences(json_text(F.col("_text")))))
-        frame = frame.withColumn("_match", first_match(F.col("_plain")))
-        found = (
-            F.when(F.col("_match").isNotNull(), result("ok", F.col("_match.kind"), F.col("_match.content")))
-            .when(F.col("_plain").rlike(OPENING), result("partial", null, F.col("_plain")))
-        )
-        frame = frame.withColumn("_out", F.coalesce("_out", found)).withColumn("_text", F.regexp_replace("_plain", r"\n{2,}", "\n"))
-    missing = text.isNull() if passes else F.lit(True)
-    last = F.when(missing, result("null_input", null, null)).otherwise(F.coalesce("_out", result("invalid", null, null)))
-    return frame.withColumn(out_col, last).drop("_text", "_out", "_plain", "_match")
+    nothing = _result("null_input", null, null)
+    if not passes:
+        return frame.withColumn(out_col, nothing)
+    first = F.struct(text.alias("text"), F.lit(None).cast(_OUT).alias("out"))
+    steps = F.sequence(F.lit(1), F.lit(passes))
+    missing = F.when(text.isNull(), nothing).otherwise(_result("invalid", null, null))
+    return frame.withColumn(out_col, F.aggregate(steps, first, lambda state, _: _pass(state), lambda state: F.coalesce(state["out"], missing)))
 
 
 def references(html: Column, strict: bool = False) -> Column:

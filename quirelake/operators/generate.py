@@ -179,7 +179,7 @@ def translate_titles(titles: DataFrame, generator: Generator, instruction: str,
         answers = F.when(F.col("response").isNull(), F.array().cast("array<string>")).otherwise(F.transform(answer, strip_number))
         new = zipped(F.col("texts"), answers)
     else:
-        pairs = F.transform(F.filter(answer, lambda x: x.rlike(r"(?U)^\s*\d+\.")), lambda x: F.struct(F.regexp_extract(x, r"(?U)^\s*(\d+)\.", 1).try_cast("int").alias("n"), strip_number(strip(x)).alias("t")))
+        pairs = F.transform(F.filter(answer, lambda x: x.rlike(r"(?U)^\s*\d+\.")), lambda x: F.struct(F.translate(F.regexp_extract(x, r"(?U)^\s*(\d+)\.", 1), "０１２３４５６７８９", "0123456789").try_cast("int").alias("n"), strip_number(strip(x)).alias("t")))
         said = lambda i: F.try_element_at(F.filter(pairs, lambda p: p["n"] == i + 1), F.lit(1))["t"]
         new = F.transform("texts", lambda x, i: F.coalesce(said(i), x))
     rows = asked.select("book", F.posexplode(F.arrays_zip("items", new.alias("new"))).alias("pos", "row"))
