@@ -147,7 +147,7 @@ def _rated(widths: Column, text: Column, kind: str, rank: int, window: int) -> C
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``pii``: array<struct<start, rank, end, kind, score>> sorted by start, then kind."""
+    """``docs`` with ``_pii``: array<struct<start, rank, end, kind, score>> sorted by start, then kind."""
     text, out, names = F.coalesce(F.col(text_col), F.lit("")), docs, []
     for kind in KINDS:
         gate, masked, pattern, _ = _RULES[kind]
@@ -159,7 +159,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = THRESHO
             rated = F.filter(rated, lambda s: s["score"] >= threshold)
         out = out.withColumn(f"_s_{kind}", rated)
         names += [f"_w_{kind}", f"_s_{kind}"]
-    return out.withColumn("pii", F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS]))).drop(*names)
+    return out.withColumn("_pii", F.array_sort(F.concat(*[F.col(f"_s_{k}") for k in KINDS]))).drop(*names)
 
 
 def joined(spans: Column) -> Column:
@@ -179,16 +179,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("pii"), first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, clean).otherwise(text)).drop("pii")
+    clean = F.aggregate(F.col("_pii"), first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return found.withColumn(text_col, F.when(F.size("_pii") > 0, clean).otherwise(text)).drop("_pii")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The id, counts by base kind, hash of the base spans and all spans."""
     found = find_pii(docs.select(id_col, "text"))
-    of = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("pii", lambda s: s["rank"] < len(BASE_KINDS))
-    return found.select(id_col, *map(of, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    of = lambda kind: F.size(F.filter("_pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("_pii", lambda s: s["rank"] < len(BASE_KINDS))
+    return found.select(id_col, *map(of, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("_pii")).alias("spans"))
 
 
 def oracle() -> str:
