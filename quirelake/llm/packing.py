@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 MAX_LEN = 2048
 END_ID = 1
-CACHE_WORDS = 1_000_000
-CACHE_BYTES = 64 << 20
-PART_CHARS = 2_000_000  # texts looked at together
+CACHE_WORDS = 400_000
+CACHE_BYTES = 32 << 20
+PART_CHARS = 1_000_000  # texts looked at together
 _TRAIL = b".,!?;:|*$%&#"
 
 _CACHES: dict[str, "WordIds"] = {}
@@ -44,12 +44,15 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.held = Tokenizer.from_file(path), 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         words = [t.encode("utf-8").split() if t else [] for t in texts]
         if len(self) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
+            self.forget()
         missing = [w for w in set().union(*words) if w not in self]
         pairs = {}
         for w in missing:
@@ -127,6 +130,7 @@ def pack_documents(
                 out = pd.DataFrame(rows, columns=["i", "start", "length", "ids_crc32", "doc_tokens", "offset", "raw"][: 6 + with_ids])
                 out.insert(0, "k", keys.take(out.pop("i")).to_numpy())
                 yield out
+        vocabulary.forget()  # workers live on; a next task's words are mostly others
 
     schema = f"k {id_type}, start long, length long, ids_crc32 long, doc_tokens long, offset long" + ", raw binary" * with_ids
     packed = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(pack, schema)

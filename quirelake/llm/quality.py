@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.session import cut
@@ -38,6 +38,7 @@ MARGIN = 1.25
 PRIOR = 40.0
 MIN_DOCS = 30
 BROADCAST_ROWS = 4_000_000
+SCALE = 1000
 
 
 def _classes() -> np.ndarray:
@@ -83,11 +84,11 @@ def ngrams(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return key[at - gap]
 
 
-_PART = 4 << 20
+_PART = 1 << 20
 
 
 def _parts(edges: np.ndarray):
-    """Ranges of texts of about 4 MB."""
+    """Ranges of texts of about 1 MB."""
     at = 0
     while at < len(edges) - 1:
         to = max(at + 1, int(np.searchsorted(edges, edges[at] + _PART, side="right")) - 1)
@@ -99,17 +100,22 @@ def count_ngrams(trusted: DataFrame, text_col: str) -> DataFrame:
     """key, n: how often each n-gram occurs in all trusted text; a task adds up before it sends."""
 
     def count(batches):
-        total = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add_up():
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
         for batch in batches:
             raw, edges = _buffer(batch.column(0))
             for a, b in _parts(edges):
-                found = np.bincount(ngrams(raw[edges[a] : edges[b]], edges[a : b + 1] - edges[a]), minlength=K**ORDER)
-                total = found if total is None else np.add(total, found, out=total)
-        if total is not None:
-            keys = np.flatnonzero(total)
+                held.append(np.unique(ngrams(raw[edges[a] : edges[b]], edges[a : b + 1] - edges[a]), return_counts=True))
+                if len(held) == 16:
+                    held[:] = [add_up()]
+        if held:
+            keys, n = add_up()
             for at in range(0, len(keys), 100_000):
-                part = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(part, pa.int64()), "n": pa.array(total[part], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[at : at + 100_000], pa.int64()), "n": pa.array(n[at : at + 100_000], pa.int64())})
 
     return trusted.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -134,18 +140,24 @@ class Model:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def table(self) -> np.ndarray:
-        """Natural logarithms of the probabilities of all n-grams."""
-        lower = np.full(1, 1.0 / K, np.float32)
+        """Natural logarithms of the probabilities of all n-grams, in steps of 1 / SCALE (2 bytes each)."""
+        lower = np.full(K, 1.0 / K, np.float32)
         for order, ((keys, p), (ctx, weight)) in enumerate(zip(self.grams, self.contexts, strict=True), 1):
             gamma = np.ones(K ** (order - 1), np.float32)
             gamma[ctx] = weight
-            full = np.tile(np.broadcast_to(lower, K).reshape(1, -1) if order == 1 else lower.reshape(-1, K), (1 if order <= 2 else K, 1))
-            if order == 2:
-                full = np.tile(lower.reshape(1, K), (K, 1))
-            full = (full * gamma[:, None]).ravel()
-            full[keys] = p
-            lower = full
-        return np.log(np.maximum(lower, 1e-12))
+            if order < ORDER:
+                # the context of the order below is this one's without its first class, so rows repeat K times
+                full = np.tile(lower.reshape(-1, K), (K if order > 1 else 1, 1)) * gamma[:, None]
+                lower = full.ravel()
+                lower[keys] = p
+        out, rank = np.empty((K, K ** (ORDER - 1)), np.int16), np.argsort(keys)
+        keys, p = keys[rank], p[rank]
+        for first in range(K):  # one block at a time: only the result is held whole
+            block = (lower.reshape(-1, K) * gamma.reshape(K, -1)[first][:, None]).ravel()
+            a, b = np.searchsorted(keys, [first * len(block), (first + 1) * len(block)])
+            block[keys[a:b] - first * len(block)] = p[a:b]
+            out[first] = np.round(np.log(np.maximum(block, 1e-12)) * SCALE)
+        return out.ravel()
 
 
 def _collected(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -205,14 +217,14 @@ def losses(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for a, b in _parts(edges):
         own = edges[a : b + 1] - edges[a]
         each = -table[ngrams(raw[edges[a] : edges[b]], own)]
-        sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-        out[a:b] = sums[own[1:]] - sums[own[:-1]]
+        sums = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        out[a:b] = (sums[own[1:]] - sums[own[:-1]]) / SCALE
     return out, np.diff(edges)
 
 
-def perplexity(text: Column, model: Model, prior: float = PRIOR) -> Column:
+def perplexity(spark: SparkSession, text: Column, model: Model, prior: float = PRIOR) -> Column:
     """Perplexity per byte of each text, as a column."""
-    sent = text_session().sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
@@ -223,12 +235,6 @@ def perplexity(text: Column, model: Model, prior: float = PRIOR) -> Column:
     return of(text.cast("string"))
 
 
-def text_session():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
-
-
 def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that a label calls good and none calls toxic. The ids are broadcast up to a checked number of rows."""
     good = labels.groupBy(F.col(id_col)).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -238,7 +244,7 @@ def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", broad
 
 def thresholds(trusted: DataFrame, model: Model, text_col: str, lang_col: str, quantile: float, margin: float, min_docs: int) -> tuple[DataFrame, float]:
     """lang_key, threshold (one row per language), and the threshold of all languages together."""
-    scored = cut(trusted.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang_key"), perplexity(F.col(text_col), model).alias("ppl")), "trusted-scores")
+    scored = cut(trusted.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang_key"), perplexity(trusted.sparkSession, F.col(text_col), model).alias("ppl")), "trusted-scores")
     at = lambda: F.percentile_approx("ppl", quantile, 10_000) * margin
     every = scored.agg(at()).first()[0]
     rows = scored.groupBy("lang_key").agg(F.count(F.lit(1)).alias("n"), at().alias("own"))
@@ -254,7 +260,7 @@ def judge(
     if model is None:
         return docs.withColumns({"perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"), "keep": F.lit(True)})
     rows, every = thresholds(trusted, model, text_col, lang_col, quantile, margin, min_docs)
-    marked = docs.withColumn("perplexity", perplexity(F.col(text_col), model)).withColumn("lang_key", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
+    marked = docs.withColumn("perplexity", perplexity(docs.sparkSession, F.col(text_col), model)).withColumn("lang_key", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
     known = F.broadcast(rows) if rows.count() <= 100_000 else rows
     marked = marked.join(known, "lang_key", "left").drop("lang_key")
     limit = F.when(F.col(text_col).isNull() | (F.length(text_col) == 0), F.lit(math.inf)).otherwise(F.coalesce("threshold", F.lit(every)))

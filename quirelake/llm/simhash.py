@@ -367,13 +367,13 @@ def keep_one(
         return pd.Series([_similar(x, y, width) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
 
     needed = pairs.select(F.col("ra").alias("_row")).unionByName(pairs.select(F.col("rb").alias("_row"))).distinct()
-    held = cut(rows.select("_row", F.col(text_col).alias("t")).join(needed, "_row"), "compared-texts")
+    held = cut(rows.select("_row", F.col(text_col).alias("t")).join(needed.hint("shuffle_hash"), "_row"), "compared-texts")
     side = lambda p: held.select(F.col("_row").alias(f"r{p}"), F.col("t").alias(f"t{p}"))
     links = pairs.join(side("a"), "ra").join(side("b"), "rb").where(alike("ta", "tb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     roots = cut(connected(links), "text-components")
     nodes = texts.select("o", F.col("o.r").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = nodes.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.r").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*columns)
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*columns)  # texts needn't be sorted
 
 
 def hex_digits(fp: Column) -> Column:

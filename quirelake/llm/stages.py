@@ -54,7 +54,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
             out["text"] = pd.Series(texts, dtype=object)
             yield out
 
-    joined = rows.join(chosen, "_row").select(*columns, "size", "segments")
+    joined = rows.join(chosen.hint("shuffle_hash"), "_row").select(*columns, "size", "segments")
     out = joined.mapInPandas(build, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
 

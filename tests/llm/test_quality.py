@@ -52,8 +52,8 @@ def test_probabilities(spark):
     keys += quality.ngrams(raw, edges).tolist()
     for k in keys:
         parts = tuple(k // quality.K**i % quality.K for i in range(quality.ORDER - 1, -1, -1))
-        assert math.isclose(math.exp(table[k]), max(p(parts), 1e-12), rel_tol=2e-4), parts
-    total = np.exp(table.astype(np.float64)).reshape(-1, quality.K).sum(axis=1)
+        assert math.isclose(math.exp(table[k] / quality.SCALE), max(p(parts), 1e-12), rel_tol=1e-3), parts
+    total = np.exp(table / quality.SCALE).reshape(-1, quality.K).sum(axis=1)
     assert np.allclose(total, 1, atol=1e-3)
 
 
