@@ -31,7 +31,7 @@ from quirelake.llm.components import connected
 from quirelake.session import cut
 
 COSINE = 0.9
-TIGHT = 6.0  # degrees
+TIGHT = 8.0  # degrees
 TABLES = 8
 PROBES = 3
 BUCKET_ENTRIES = 200
