@@ -13,6 +13,7 @@ are packed each. ``sequence_id`` is unique and follows partition and row order.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ CACHE_WORDS = 400_000
 CACHE_BYTES = 32 << 20
 PART_CHARS = 1_000_000  # texts looked at together
 _TRAIL = b".,!?;:|*$%&#"
+_SUFFIX = "</w>"  # of tokens that end a word
+_WIDE = re.compile("[^\0-\u024f]")  # marks that join letters lie beyond
 
 _CACHES: dict[str, "WordIds"] = {}
 
@@ -34,8 +37,8 @@ _CACHES: dict[str, "WordIds"] = {}
 class WordIds(dict):
     """word bytes -> its ids as little-endian unsigned 32-bit bytes, for the words seen last.
 
-    The tokenizer lower-cases and cuts between letters and punctuation, so an ASCII word gets its
-    ids from its lower-cased core and its trailing marks.
+    The tokenizer lower-cases and cuts between letters and punctuation. So texts are lower-cased
+    first where no mark could join a letter, and a word gets its ids from its core and trailing marks.
     """
 
     def __init__(self, path: str):
@@ -43,6 +46,9 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.held = Tokenizer.from_file(path), 0
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(_SUFFIX)]] = True
 
     def forget(self) -> None:
         self.clear()
@@ -50,35 +56,58 @@ class WordIds(dict):
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        words = [t.encode("utf-8").split() if t else [] for t in texts]
+        words = [_low(t).split() if t else [] for t in texts]
         if len(self) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.forget()
         missing = [w for w in set().union(*words) if w not in self]
         pairs = {}
         for w in missing:
-            if w.isascii():
-                low = w.lower()
-                core = low.rstrip(_TRAIL)
-                if core != w and core[-1:].isalnum():
-                    pairs[w] = core, low[len(core) :]
-        self._encode({part for pair in pairs.values() for part in pair if part and part not in self} | {w for w in missing if w not in pairs})
+            core = w.rstrip(_TRAIL)
+            if len(core) < len(w) and _ends_with_letter(core):
+                pairs[w] = core, w[len(core) :]
+        self._encode({part for pair in pairs.values() for part in pair if part not in self} | {w for w in missing if w not in pairs})
         for w, (core, trail) in pairs.items():
-            self[w] = self[core] + (self[trail] if trail else b"")
+            self[w] = self[core] + self[trail]
         self.held += sum(map(len, missing))
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
     def _encode(self, words: set[bytes]) -> None:
-        """All words in one go; a token belongs to the word that holds its start."""
-        listed = [(w, w.decode("utf-8")) for w in words]
-        for at in range(0, len(listed), 20_000):
-            part = listed[at : at + 20_000]
+        """All words in one go: those of one kind of character, which end with the first token that ends a word, then the others."""
+        plain, mixed = [], []
+        for w in words:
+            t = w.decode("utf-8")
+            (plain if t.isalpha() or not w.strip(_TRAIL) else mixed).append((w, t))
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):  # every word has one end at least, so each has exactly one
+                self._keep(part, ids, np.concatenate([[0], ends]))
+            else:
+                mixed += part
+        for at in range(0, len(mixed), 20_000):
+            part = mixed[at : at + 20_000]
             found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
             starts = np.cumsum([0] + [len(t) + 1 for _, t in part])
-            tokens = np.array([o[0] for o in found.offsets], np.int64)
-            edges = (4 * np.searchsorted(tokens, starts)).tolist()
-            raw = np.array(found.ids, "<u4").tobytes()
-            for (w, _), first, last in zip(part, edges[:-1], edges[1:], strict=True):
-                self[w] = raw[first:last]
+            tokens = np.array([o[0] for o in found.offsets], np.int64)  # a token belongs to the word that holds its start
+            self._keep(part, np.array(found.ids, "<u4"), np.searchsorted(tokens, starts))
+
+    def _keep(self, part: list[tuple[bytes, str]], ids: np.ndarray, edges: np.ndarray) -> None:
+        raw, edges = ids.tobytes(), (4 * edges).tolist()
+        for (w, _), first, last in zip(part, edges[:-1], edges[1:], strict=True):
+            self[w] = raw[first:last]
+
+
+def _low(text: str) -> bytes:
+    """The text in bytes, A-Z lower-cased where neither a composed letter nor a control token can depend on it."""
+    raw = text.encode("utf-8")
+    return raw if "<|" in text or not (text.isascii() or _WIDE.search(text) is None) else raw.lower()
+
+
+def _ends_with_letter(core: bytes) -> bool:
+    """Whether the last character is an ASCII letter or digit or one of the letters from U+00C0 to U+00FF."""
+    return core[-1:].isalnum() or (core[-2:-1] == b"\xc3" and core[-1:] not in (b"\x97", b"\xb7"))
 
 
 def word_ids(path: str) -> WordIds:

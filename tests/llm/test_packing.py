@@ -15,6 +15,7 @@ TEXTS = [
     None, "", " \t\n", "The Cat's don't, STOP!! x.y z,, '' 'S it'S we'll.", "Éa İI KÅ ΑΣ. ΑΣ é å̀ ́x fi ſ",
     "<|startoftext|>a <|endoftext|> b<|endoftext|>.", "a b c​d 　 \x1c\x1d \x85 x", "日本語 テキスト😀👍🏽 ½²³ ١٢٣ 12 3.4",
     "word " * 5000, "x" * 5000 + "...", "#$% &*| a|b|c ** ?!", "A.B.C. d... e!! 'tis rock'n'roll '' ,' .'s x's, y's. 'RE",
+    "<|ENDOFTEXT|>x. <|endoftext|>A, Été!! É× ÷. é÷, İ. İx, ŞA.. J\u030c. \ufb2a. \ufb2a ª. ß?! ÀÿŸ",
 ]
 
 
