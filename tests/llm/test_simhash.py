@@ -156,3 +156,58 @@ def test_wide_radius_links(spark):
         root[max(x, y)] = min(x, y)
     want = plain_components(values.tolist(), 10)
     assert [find(v) for v in values.tolist()] == [int(values[w]) for w in want]
+
+
+def groups_left(texts, similarity=0.8):
+    """How many groups all pairs of the texts give."""
+    sets = [simhash._shingles(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def variants(draw, text, n, changes):
+    out = []
+    for _ in range(n):
+        words = text.split()
+        for at in draw.choice(len(words), changes, replace=False):
+            words[at] = f"x{draw.integers(10**9)}"
+        out.append(" ".join(words))
+    return out
+
+
+def kept_ids(spark, texts):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+@pytest.mark.parametrize("n, changes, place", [(200, 7, 150), (150, 8, 0)])
+def test_families_of_near_copies(spark, n, changes, place):
+    draw = np.random.default_rng(n)
+    base = " ".join(f"w{i}" for i in draw.integers(0, 10**6, 400))
+    texts = variants(draw, base, n, changes)
+    texts.insert(place, base)
+    want = groups_left(texts)
+    assert len(want) < n // 4
+    assert kept_ids(spark, texts) == want
+
+
+def test_buckets_pair_all_in_rounds():
+    sig, nodes = np.zeros(300, np.int64), np.arange(300)
+    seen, first, last, left = set(), 0, 1, True
+    while left:
+        pairs, left = simhash.bucket_pairs(sig, nodes, nodes, first, last)
+        seen |= {tuple(p) for p in pairs.tolist()}
+        first, last = last, last + (simhash._HUBS if first == 0 else 2 * (last - first))
+    assert len(seen) == 300 * 299 // 2
+    assert simhash.bucket_pairs(sig, nodes, sig, 0, 1)[0].shape == (0, 2)
