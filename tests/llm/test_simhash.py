@@ -211,3 +211,17 @@ def test_buckets_pair_all_in_rounds():
         first, last = last, last + (simhash._HUBS if first == 0 else 2 * (last - first))
     assert len(seen) == 300 * 299 // 2
     assert simhash.bucket_pairs(sig, nodes, sig, 0, 1)[0].shape == (0, 2)
+
+
+def test_pairs_just_above_the_similarity(spark):
+    draw = np.random.default_rng(11)
+    texts = []
+    for i in range(60):
+        base = " ".join(f"w{k}" for k in draw.integers(0, 10**6, 400))
+        words = base.split()
+        for at in range(30, 390, 45):  # 8 words changed, 40 of 396 shingles: 0.817
+            words[at] = f"y{draw.integers(10**9)}"
+        texts += [base, " ".join(words)]
+    line = " ".join(f"v{k}" for k in range(40))
+    texts += [line + " tail of its own " * 3, line + " tail of its own " * 300]  # sets of shingles, however often they are repeated
+    assert kept_ids(spark, texts) == groups_left(texts) == list(range(0, 122, 2))
