@@ -225,3 +225,14 @@ def test_pairs_just_above_the_similarity(spark):
     line = " ".join(f"v{k}" for k in range(40))
     texts += [line + " tail of its own " * 3, line + " tail of its own " * 300]  # sets of shingles, however often they are repeated
     assert kept_ids(spark, texts) == groups_left(texts) == list(range(0, 122, 2))
+
+
+def test_like_texts_that_share_a_fingerprint_with_an_unlike_one(spark):
+    draw = np.random.default_rng(12)
+    passage = " ".join(f"p{k}" for k in range(31)) + " "
+    tails = [" ".join(f"t{k}" for k in draw.integers(0, 10**6, 120)) for _ in range(2)]
+    near = tails[1].split()
+    near[60] = "other"
+    texts = [passage * 400 + tail for tail in (tails[0], tails[1], " ".join(near))]
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    assert kept_ids(spark, texts) == groups_left(texts) == [0, 1]
