@@ -8,7 +8,7 @@ worker then fills one table of all probabilities and scores a text in one pass,
 
 A document is rejected if its perplexity is over its language's threshold: ``margin`` times the
 ``quantile`` of that language's trusted documents (of all trusted documents where a language has
-fewer than ``min_docs``). A few bytes say little, so perplexity is that of the text and ``prior`` bytes
+fewer than ``min_docs``), each scored by a model of the other folds, which has not seen its text. A few bytes say little, so perplexity is that of the text and ``prior`` bytes
 more at the trusted mean.
 
 Defined results: a null or empty text has the trusted mean's perplexity and is kept; a null language is
@@ -18,6 +18,7 @@ kept, with a null threshold; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from dataclasses import dataclass, field
@@ -33,8 +34,9 @@ from quirelake.session import cut
 K = 64
 ORDER = 4
 PAD = 62
-QUANTILE = 0.99
-MARGIN = 1.25
+QUANTILE = 0.999
+MARGIN = 1.0
+FOLDS = 2
 PRIOR = 40.0
 MIN_DOCS = 30
 BROADCAST_ROWS = 4_000_000
@@ -244,7 +246,13 @@ def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", broad
 
 def thresholds(trusted: DataFrame, model: Model, text_col: str, lang_col: str, quantile: float, margin: float, min_docs: int) -> tuple[DataFrame, float]:
     """lang_key, threshold (one row per language), and the threshold of all languages together."""
-    scored = cut(trusted.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang_key"), perplexity(trusted.sparkSession, F.col(text_col), model).alias("ppl")), "trusted-scores")
+    fold, parts = F.pmod(F.xxhash64(F.col(text_col)), F.lit(FOLDS)), []  # copies of a text share its fold
+    for k in range(FOLDS):
+        others = train(trusted.where(fold != k), text_col) or model
+        mine = trusted.where(fold == k)
+        mine = mine.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang_key"), perplexity(trusted.sparkSession, F.col(text_col), others).alias("ppl"))
+        parts.append(cut(mine, "trusted-scores"))
+    scored = functools.reduce(DataFrame.unionByName, parts)
     at = lambda: F.percentile_approx("ppl", quantile, 10_000) * margin
     every = scored.agg(at()).first()[0]
     rows = scored.groupBy("lang_key").agg(F.count(F.lit(1)).alias("n"), at().alias("own"))

@@ -1,6 +1,7 @@
 """Probabilities against a plain modified Kneser-Ney model, and the decisions."""
 
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,3 +92,16 @@ def test_without_trusted_text_and_empty(corpus):
     got = quality.judge(docs, docs.limit(0)).collect()
     assert all(r.keep and r.threshold is None for r in got)
     assert quality.judge(docs.limit(0), docs.limit(0)).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_of_labelled_junk(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    kept = {r.doc_id for r in quality.judge(docs, quality.with_trust(docs, labels)).where("keep").collect()}
+    good = {r.doc_id for r in labels.where("quality = 1 AND toxic = 0").collect()}
+    junk = {r.doc_id for r in labels.where("quality = 0").collect()}
+    assert good <= kept
+    assert len(junk - kept) >= 0.8 * len(junk)
