@@ -4,8 +4,9 @@
    ``tight`` degrees away, so copies and near copies shrink to a few leaders. Buckets of more than
    ``salt_rows`` vectors are salted first; leaders of salted buckets are grouped again. Any two
    members of a group are within twice ``tight`` degrees, hence linked.
-2. Leaders are hashed ``tables`` times, by ``heads`` rotations a time, with probes to the next best
-   buckets. Each entry carries its leader as 8-bit components; pairs that may hold links at that
+2. Leaders are hashed in ``tables`` tables or more, by ``heads`` rotations a time, with probes to the next best
+   buckets. Rotations grow with the number of vectors, and tables with them, so that two leaders as far apart as
+   a link between members of their groups allows meet with probability ``RECALL`` at any size. Each entry carries its leader as 8-bit components; pairs that may hold links at that
    precision are candidates.
 3. Candidate pairs are checked in double precision. By the triangle inequality a pair of groups is
    linked as a whole, not at all, or, between the two, compared member by member.
@@ -34,6 +35,7 @@ COSINE = 0.9
 TIGHT = 8.0  # degrees
 TABLES = 8
 PROBES = 3
+RECALL = 0.99
 BUCKET_ENTRIES = 200
 SALT_ROWS = 5000
 SEED = 77
@@ -231,6 +233,27 @@ def heads_for(n: int, dim: int, tables: int, probes: int, entries: int = BUCKET_
     return max(1, math.ceil(math.log(max(n * probes / entries, 1.0)) / math.log(2 * max(16, 1 << (max(dim, 1) - 1).bit_length()))))
 
 
+def tables_for(heads: int, dim: int, angle: float, probes: int, least: int = TABLES, recall: float = RECALL) -> int:
+    """Tables, ``least`` or more, so that vectors ``angle`` degrees apart share a bucket with probability ``recall``.
+
+    The share of pairs that meet in one table is measured on drawn pairs, less two standard errors.
+    """
+    draw = np.random.default_rng([SEED, heads, dim])
+    x = draw.normal(size=(1000, max(dim, 2)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = draw.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = math.cos(math.radians(angle)) * x + math.sin(math.radians(angle)) * y
+    met = n = 0
+    while n < 16_000 or (met < 200 and n < 200_000):
+        a, b = (buckets(z, n // 1000, heads, probes, SEED + 1) for z in (x, y))
+        met, n = met + int((a[:, :, None] == b[:, None, :]).any((1, 2)).sum()), n + 1000
+    share = met / n
+    share = max(share - 2 * math.sqrt(share * (1 - share) / n), 1e-6)
+    return max(least, math.ceil(math.log(1 - recall) / math.log1p(-min(share, 0.999))))
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, tables: int = TABLES,
     probes: int = PROBES, tight: float = TIGHT, salt_rows: int = SALT_ROWS, seed: int = SEED,
@@ -253,6 +276,8 @@ def near_duplicates(
     sized = members.join(classes.select("cid", "n", "least"), "cid")
     groups = sized.groupBy("leader").agg(F.max("angle").alias("reach"), F.sum("n").alias("n"), F.min("least").alias("least"))
     groups = cut(groups.join(classes.select(F.col("cid").alias("leader"), "v"), "leader").withColumnRenamed("leader", "cid"), "group-leaders")
+    widest = math.degrees(math.acos(cosine)) + 2 * (groups.agg(F.max("reach")).first()[0] or 0.0)
+    tables = tables_for(heads, size.d or 1, widest, probes, tables)
     pairs = candidates(groups.select("cid", "v", "reach"), size.n, cosine, tables, heads, probes, seed)
     side = lambda p: groups.select(F.col("cid").alias(p), F.col("v").alias(f"v{p}"), F.col("reach").alias(f"r{p}"), F.col("n").alias(f"n{p}"))
     limit = math.degrees(math.acos(cosine))

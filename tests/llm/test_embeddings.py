@@ -70,6 +70,25 @@ def test_recall_of_the_index():
         assert hit.mean() > 0.99
 
 
+@pytest.mark.parametrize("heads, dim", [(2, 64), (3, 64), (4, 64), (2, 128), (3, 128)])
+@pytest.mark.parametrize("groups", [0.0, 2 * embeddings.TIGHT])
+def test_recall_at_more_rotations(heads, dim, groups):
+    """Leaders of linked vectors, at the edges of their groups too, share a bucket."""
+    draw = np.random.default_rng(heads)
+    angle = np.degrees(np.arccos(0.9)) + groups
+    x = draw.normal(size=(400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = draw.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = np.cos(np.radians(angle)) * x + np.sin(np.radians(angle)) * y
+    hit = np.zeros(len(x), bool)
+    for t in range(embeddings.tables_for(heads, dim, angle, embeddings.PROBES)):
+        a, b = (embeddings.buckets(z, t, heads, embeddings.PROBES, embeddings.SEED) for z in (x, y))
+        hit |= (a[:, :, None] == b[:, None, :]).any((1, 2))
+    assert hit.mean() > 0.97
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(embeddings.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
