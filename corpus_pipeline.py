@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelake.llm import stages
-from quirelake.session import cut, ship, table
+from quirelake.session import cut, forget, scratch, ship, table
 
 ORACLE_SQL = None
 
@@ -50,8 +50,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's working tables go when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(cut(stage(spark, before, sf_dir), name.replace(" ", "-")))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,11 @@ executors share, and ``cut`` ends a lineage by writing a table there.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +39,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
+    """The shared folder in ``spark.checkpoint.dir``. Where that is unset, a local one if all runs on this machine (tests); else it is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(sc, "_quirelake_scratch", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="quirelake-scratch-")
@@ -59,18 +63,53 @@ def cut(df: DataFrame, label: str = "cut", partition_by: list[str] | None = None
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quirelake_path = path
+    for paths in _SCOPES:
+        paths.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def forget(df: DataFrame) -> None:
-    """Delete the table behind a result of ``cut``."""
+    """Delete the table behind a result of ``cut``; what was read from it can't be computed any more."""
     path = getattr(df, "_quirelake_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target.getFileSystem(conf).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that ``cut`` writes inside the block when it ends, but for those given to the function that it hands out."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df._quirelake_path)
+        return df
+
+    _SCOPES.append(paths)
+    try:
+        yield keep
+    finally:
+        _SCOPES[:] = [p for p in _SCOPES if p is not paths]
+        for path in paths:
+            _delete(spark, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
