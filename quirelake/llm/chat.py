@@ -114,7 +114,8 @@ class _Digest:
 
 
 def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int):
-    """(key, is_last, text, ids, offsets, mask) for each chunk; batches are sorted by key and turn."""
+    """(key, is_last, text, ids, offsets, mask) for each chunk; batches are sorted by key and turn. A null key is a flag
+    of its own beside a key of 0: a column of longs with a null would reach pandas as floating point."""
     tok, key, held, size, first = tokenizer(path), None, [], 0, True
 
     def flush(last: bool):
@@ -124,8 +125,7 @@ def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int):
         return key, last, text, enc.ids, offsets, loss_mask(offsets, spans)
 
     for batch in batches:
-        null_key = batch["k"].isna().tolist()
-        for k, missing, role, text in zip(batch["k"].tolist(), null_key, batch["role"], batch["text"], strict=True):
+        for k, missing, role, text in zip(batch["k"].tolist(), batch["missing"].tolist(), batch["role"], batch["text"], strict=True):
             k = None if missing else int(k)
             if first or k != key:
                 if not first:
@@ -142,10 +142,10 @@ def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int):
 
 def _ordered(turns: DataFrame) -> DataFrame:
     plain = turns.select(
-        F.col("conv_id").cast("long").alias("k"), F.col("turn").alias("turn"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("k"), F.col("conv_id").cast("long").isNull().alias("missing"), F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    return plain.repartition("k").sortWithinPartitions("k", "turn", "role", "text").select("k", "role", "text")
+    return plain.repartition("k", "missing").sortWithinPartitions("k", "missing", "turn", "role", "text").select("k", "missing", "role", "text")
 
 
 def format_conversations(turns: DataFrame, tokenizer_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -164,6 +164,10 @@ def conversation_digests(turns: DataFrame, tokenizer_path: str, chunk_chars: int
     """One row per conversation, read back from its formatted chunks as they are made."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
 
+    def frame(rows):
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+        return pd.DataFrame(columns | {"conv_id": pd.array(columns["conv_id"], "Int64")})
+
     def digest(batches):
         rows, now = [], None
         for key, ended, text, _, offsets, mask in _chunks(batches, tokenizer_path, chunk_chars):
@@ -173,10 +177,10 @@ def conversation_digests(turns: DataFrame, tokenizer_path: str, chunk_chars: int
                 rows.append(now.row())
                 now = None
             if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+                yield frame(rows)
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+            yield frame(rows)
 
     return _ordered(turns).mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 

@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,26 +143,32 @@ def pack_documents(
     id_type = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = word_ids(tokenizer_path)
         for batch in batches:
-            texts = batch["t"].where(batch["t"].notna(), None).tolist()
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             for part in _parts(texts):
-                keys, rows = batch["k"].iloc[part], []
-                for i, raw in enumerate(vocabulary.texts(texts[part])):
+                who, starts, lengths, sums, totals, pieces = [], [], [], [], [], []
+                for i, raw in enumerate(vocabulary.texts(texts[part]), part.start):
                     raw += end
                     total, at = len(raw) // 4, 0
                     for n in piece_lengths(total, max_len):
                         piece = raw[4 * at : 4 * (at + n)]
-                        rows.append((i, at, n, zlib.crc32(piece), total, 0, piece)[: 6 + with_ids])
+                        who.append(i)
+                        starts.append(at)
+                        lengths.append(n)
+                        sums.append(zlib.crc32(piece))
+                        totals.append(total)
+                        if with_ids:
+                            pieces.append(piece)
                         at += n
-                out = pd.DataFrame(rows, columns=["i", "start", "length", "ids_crc32", "doc_tokens", "offset", "raw"][: 6 + with_ids])
-                out.insert(0, "k", keys.take(out.pop("i")).to_numpy())
-                yield out
+                long = lambda values: pa.array(values, pa.int64())
+                out = {"k": keys.take(pa.array(who, pa.int64())), "start": long(starts), "length": long(lengths), "ids_crc32": long(sums), "doc_tokens": long(totals), "offset": long([0] * len(who))}
+                yield pa.RecordBatch.from_pydict(out | ({"raw": pa.array(pieces, pa.binary())} if with_ids else {}))
         vocabulary.forget()  # workers live on; a next task's words are mostly others
 
     schema = f"k {id_type}, start long, length long, ids_crc32 long, doc_tokens long, offset long" + ", raw binary" * with_ids
-    packed = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(pack, schema)
+    packed = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(pack, schema)
     packed = packed.withColumn("sequence_id", F.monotonically_increasing_id())
     names = [F.col("k").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return packed.select(*names, *(["raw"] if with_ids else []))

@@ -55,3 +55,11 @@ def test_formatted_output(spark):
     out = chat.format_conversations(df, PATH).first()
     assert len(out.input_ids) == len(out.loss_mask) and out.text.endswith(chat.END) and sum(out.loss_mask) > 0
     assert chat.format_conversations(df.limit(0), PATH).count() == 0 and chat.conversation_digests(df.limit(0), PATH).count() == 0
+
+
+def test_ids_beside_a_null_one(spark):
+    ids = [2**53, 2**53 + 1, None, 0, 2**63 - 1]
+    df = spark.createDataFrame([(i, 0, "user", str(i)) for i in ids], "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.conversation_digests(df, PATH).collect()
+    assert {r.conv_id for r in got} == set(ids) and len(got) == len(ids) and all(r.n_turns == 1 for r in got)
+    assert {r.conv_id for r in chat.format_conversations(df, PATH).collect()} == set(ids)

@@ -61,3 +61,18 @@ def test_empty_table_and_buckets(spark, tmp_path):
     packed = packing.pack_documents(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), PATH)
     packing.write_buckets(packed, str(tmp_path / "out"))
     assert {r.bucket for r in spark.read.parquet(str(tmp_path / "out")).select("bucket").collect()} == {4, 2}
+
+
+def test_ids_beside_a_null_one(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(i, "one two three") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack_documents(df, PATH).collect()} == set(ids)
+    named = spark.createDataFrame([("a", "one", 1, b""), (None, "two", 2, b"")], "doc_id string, text string, k int, raw binary")
+    assert {r.doc_id for r in packing.pack_documents(named, PATH).collect()} == {"a", None}
+
+
+def test_a_very_long_text(spark):
+    text = "Éa stop. " * 200_000 + "x" * 100_000
+    got = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).orderBy("start").collect()
+    ids = plain(text)
+    assert got[0].doc_tokens == len(ids) and b"".join(bytes(r.raw) for r in got) == np.array(ids, "<u4").tobytes()
