@@ -15,6 +15,8 @@ import numpy as np
 BLOCK = 1024
 RATE = 8000
 BITS = 8
+LINEAR = 4  # order of the linear predictors that are fitted
+SLICE = 1 << 20  # samples coded, and frames of as many samples decoded, at a time
 
 
 def _crc_table(poly: int, width: int, index_bits: int) -> np.ndarray:
@@ -74,29 +76,75 @@ def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> Non
         bits[at + j] = value >> (width - 1 - j) & 1
 
 
-def encode(payloads: list[bytes], block: int = BLOCK, max_order: int = 2, lpc: tuple[list[int], int] | None = None) -> list[bytes]:
+def fit(x: np.ndarray, first: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (12 bits) and shift of a linear predictor for each frame: Levinson's recursion on its autocorrelation."""
+    y = x.astype(np.float64)
+    lags = []
+    for lag in range(order + 1):
+        product = y * np.concatenate([np.zeros(lag), y[: len(y) - lag]])
+        for i in range(lag):  # these reach into the frame before
+            product[first[n > i] + i] = 0
+        lags.append(np.add.reduceat(product, first))
+    a, error = np.zeros((order, len(n))), np.maximum(lags[0], 1e-9) * (1 + 1e-9)
+    for i in range(order):
+        k = (lags[i + 1] - sum(a[j] * lags[i - j] for j in range(i))) / error
+        k = np.clip(k, -0.9999, 0.9999)
+        head = a[:i] - k * a[:i][::-1]
+        a[:i], a[i] = head, k
+        error = error * (1 - k * k)
+    shift = np.clip(10 - np.ceil(np.log2(np.maximum(np.abs(a).max(axis=0), 2.0**-5))), 0, 15).astype(np.int64)
+    return np.clip(np.round(a * 2.0**shift), -2048, 2047).astype(np.int32), shift
+
+
+def encode(payloads: list[bytes], block: int = BLOCK, max_order: int = 2, lpc: tuple[list[int], int] | None = None, linear: int = 0) -> list[bytes]:
     """One stream for each payload of unsigned bytes. Every frame takes the smallest of a constant, plain samples, and
-    the Rice code of the residuals of fixed predictors up to ``max_order`` or of ``lpc`` (coefficients, shift)."""
+    the Rice code of the residuals of fixed predictors up to ``max_order``, of ``lpc`` (coefficients, shift), or of a
+    predictor of order ``linear`` that is fitted to the frame. Long payloads are coded in slices of whole frames."""
+    step = max(SLICE // block, 1) * block
+    pieces = [(i, at, p[at : at + step]) for i, p in enumerate(payloads) for at in range(0, len(p), step)]
+    parts: list[list[tuple]] = [[] for _ in payloads]
+    held, size = [], 0
+    for j, piece in enumerate(pieces):
+        held.append(piece)
+        size += len(piece[2])
+        if size >= SLICE or j == len(pieces) - 1:
+            coded = _frames([p for _, _, p in held], [at // block for _, at, _ in held], block, max_order, lpc, linear)
+            for (i, _, _), c in zip(held, coded, strict=True):
+                parts[i].append(c)
+            held, size = [], 0
+    out = []
+    for p, mine in zip(payloads, parts, strict=True):
+        frames = b"".join(raw for raw, _, _ in mine)
+        sizes, counts = [x for _, s, _ in mine for x in s], [x for _, _, c in mine for x in c]
+        out.append(_stream(p, _starts(np.array(sizes, np.int64))[:-1].tolist(), counts, sizes) + frames)
+    return out
+
+
+def _frames(payloads: list[bytes], numbers: list[int], block: int, max_order: int, lpc: tuple[list[int], int] | None, linear: int) -> list[tuple[bytes, list[int], list[int]]]:
+    """Frames of each payload, numbered from the given numbers on: their bytes, sizes and sample counts."""
     sizes = np.array([len(p) for p in payloads], np.int64)
     joined = np.frombuffer(b"".join(payloads), np.uint8)
     x = joined.astype(np.int32) - 128
     per = -(-sizes // block)
     stream = np.repeat(np.arange(len(payloads)), per)
-    number = np.arange(len(stream)) - np.repeat(_starts(per)[:-1], per)
-    n = np.minimum(block, sizes[stream] - number * block)
-    first = _starts(sizes)[stream] + number * block  # frames in order cover all samples without gaps
+    within = np.arange(len(stream)) - np.repeat(_starts(per)[:-1], per)
+    number = within + np.repeat(np.array(numbers, np.int64), per)
+    n = np.minimum(block, sizes[stream] - within * block)
+    first = _starts(sizes)[stream] + within * block  # frames in order cover all samples without gaps
     place = np.arange(len(x)) - np.repeat(first, n)
     frames = len(n)
-    if not frames:
-        return [_stream(p, [], [], []) for p in payloads]
 
     best, kind, rice = 8 * n + 8, np.full(frames, 1), np.zeros(frames, np.int64)  # plain samples
-    models = [(o, None) for o in range(max_order + 1)] + ([(len(lpc[0]), lpc)] if lpc else [])
+    models = [(o, None) for o in range(max_order + 1)]
+    if lpc:
+        models.append((len(lpc[0]), (np.repeat(np.array(lpc[0], np.int32)[:, None], frames, axis=1), np.full(frames, lpc[1]))))
+    elif linear:
+        models.append((linear, fit(x, first, n, linear)))
     residuals, current = [], x
-    for order, linear in models:
-        if linear:
-            guess = sum(c * np.concatenate([np.zeros(j + 1, np.int32), x[: -j - 1]]) for j, c in enumerate(linear[0]))
-            r = x - (guess >> linear[1])
+    for order, weights in models:
+        if weights:
+            guess = sum(np.repeat(c, n) * np.concatenate([np.zeros(j + 1, np.int32), x])[: len(x)] for j, c in enumerate(weights[0]))
+            r = x - (guess >> np.repeat(weights[1].astype(np.int32), n))
         else:
             if order:
                 current = np.concatenate([current[:1], current[1:] - current[:-1]])
@@ -104,12 +152,12 @@ def encode(payloads: list[bytes], block: int = BLOCK, max_order: int = 2, lpc: t
         u = np.where(place >= order, (r << 1) ^ (r >> 31), 0)
         total, count = np.add.reduceat(u, first), np.maximum(n - order, 1)
         k = np.clip(np.floor(np.log2(np.maximum(total / count, 1))).astype(np.int64), 0, 14)
-        head = 8 + 8 * order + 10 + ((9 + 12 * order) if linear else 0)
+        head = 8 + 8 * order + 10 + ((9 + 12 * order) if weights else 0)
         for guess_k in (k, np.maximum(k - 1, 0)):
             cost = np.add.reduceat(u >> np.repeat(guess_k, n), first) + (n - order) * (1 + guess_k) + head
             better = (cost < best) & (n > order)
             best, rice = np.where(better, cost, best), np.where(better, guess_k, rice)
-            kind = np.where(better, 32 + order - 1 if linear else 8 + order, kind)
+            kind = np.where(better, 32 + order - 1 if weights else 8 + order, kind)
         residuals.append(u)
     same = np.maximum.reduceat(x, first) == np.minimum.reduceat(x, first)
     kind, best = np.where(same, 0, kind), np.where(same, 16, best)
@@ -128,17 +176,18 @@ def encode(payloads: list[bytes], block: int = BLOCK, max_order: int = 2, lpc: t
         who = np.flatnonzero(order > w)
         _put(bits, body[who] + 8 + 8 * w, joined[first[who] + w].astype(np.int64) ^ 128, 8)
     after = body + 8 + 8 * order
-    if lpc:
-        who = np.flatnonzero(kind >= 32)
+    who = np.flatnonzero(kind >= 32)
+    if len(who):
+        coefficients, shifts = models[-1][1]
         _put(bits, after[who], np.full(len(who), 11), 4)
-        _put(bits, after[who] + 4, np.full(len(who), lpc[1]), 5)
-        for j, c in enumerate(lpc[0]):
-            _put(bits, after[who] + 9 + 12 * j, np.full(len(who), c & 0xFFF), 12)
+        _put(bits, after[who] + 4, shifts[who], 5)
+        for j, c in enumerate(coefficients):
+            _put(bits, after[who] + 9 + 12 * j, c[who] & 0xFFF, 12)
         after = after + np.where(kind >= 32, 9 + 12 * order, 0)
     coded = kind >= 8
     _put(bits, after[coded] + 6, rice[coded], 4)  # method 0, one partition, its parameter
-    for (o, linear), u in zip(models, residuals, strict=True):
-        chosen = kind == (32 + o - 1 if linear else 8 + o)
+    for (o, weights), u in zip(models, residuals, strict=True):
+        chosen = kind == (32 + o - 1 if weights else 8 + o)
         take = np.repeat(chosen, n) & (place >= o)
         if not take.any():
             continue
@@ -162,11 +211,8 @@ def encode(payloads: list[bytes], block: int = BLOCK, max_order: int = 2, lpc: t
     raw[at[:-1] + lead] = crc8(raw, at[:-1], lead)
     check = crc16(raw, at[:-1], frame_size - 2)
     raw[at[1:] - 2], raw[at[1:] - 1] = check >> 8, check & 0xFF
-    whole, out, edge = raw.tobytes(), [], _starts(per)
-    for i, p in enumerate(payloads):
-        a, b = int(edge[i]), int(edge[i + 1])
-        out.append(_stream(p, (at[a:b] - at[a]).tolist(), n[a:b].tolist(), frame_size[a:b].tolist()) + whole[at[a] : at[b]])
-    return out
+    whole, edge = raw.tobytes(), _starts(per).tolist()
+    return [(whole[at[a] : at[b]], frame_size[a:b].tolist(), n[a:b].tolist()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _stream(payload: bytes, offsets: list[int], counts: list[int], sizes: list[int]) -> bytes:
@@ -386,10 +432,15 @@ def _restore(out: np.ndarray, who: np.ndarray, order: np.ndarray) -> None:
 
 @dataclass
 class Decoded:
-    samples: np.ndarray  # signed
+    samples: np.ndarray  # signed, 16 bits wide for streams of up to 8 bits, else 32
     blocks: list[tuple[int, int]]  # (sample offset, samples) of each frame
     ok: bool  # all frame checksums and the digest hold
     error: str = ""
+    bits: int = 8
+
+
+def _narrow(samples: np.ndarray, bits: int) -> np.ndarray:
+    return samples.astype(np.int16 if bits <= 8 else np.int32)
 
 
 def decode(streams: list[bytes]) -> list[Decoded]:
@@ -406,33 +457,35 @@ def decode(streams: list[bytes]) -> list[Decoded]:
     for i, h in enumerate(heads):
         if h is None or not h.total:
             continue
-        if sum(c for _, _, c in h.points) == h.total:
+        offsets = [o for _, o, _ in h.points]
+        if sum(c for _, _, c in h.points) == h.total and sorted(set(offsets)) == offsets and offsets[-1] < len(streams[i]) - h.data:
             listed += [int(base[i]) + h.data + o for _, o, _ in h.points]
             owner += [i] * len(h.points)
         else:
             walk.append((i, int(base[i]) + h.data))
-    if listed:
-        depth = np.array([heads[i].bits for i in owner], np.int64)
-        samples, _, _, good = decode_frames(joined, np.array(listed), depth)
-        for i, s, g in zip(owner, samples, good.tolist(), strict=True):
-            frames[i].append((0, s, g))
+    for at in range(0, len(listed), SLICE // BLOCK):
+        mine = owner[at : at + SLICE // BLOCK]
+        lowest, highest = listed[at], int(base[mine[-1] + 1]) if at + len(mine) == len(listed) else listed[at + len(mine)]
+        samples, _, _, good = decode_frames(joined[lowest:highest], np.array(listed[at : at + len(mine)]) - lowest, np.array([heads[i].bits for i in mine], np.int64))
+        for i, s, g in zip(mine, samples, good.tolist(), strict=True):
+            frames[i].append((0, _narrow(s, heads[i].bits), g))
     while walk:
         samples, _, ends, good = decode_frames(joined, np.array([a for _, a in walk]), np.array([heads[i].bits for i, _ in walk], np.int64))
         after = []
         for (i, _), s, e, g in zip(walk, samples, ends.tolist(), good.tolist(), strict=True):
-            frames[i].append((0, s, g))
+            frames[i].append((0, _narrow(s, heads[i].bits), g))
             if g and e < base[i + 1] and sum(len(x) for _, x, _ in frames[i]) < heads[i].total:
                 after.append((i, e))
         walk = after
     out = []
     for h, parts in zip(heads, frames, strict=True):
         if h is None:
-            out.append(Decoded(np.zeros(0, np.int64), [], False, "not a stream of one channel"))
+            out.append(Decoded(np.zeros(0, np.int16), [], False, "not a stream of one channel"))
             continue
         bad = next((j for j, (_, _, g) in enumerate(parts) if not g), len(parts))
-        whole = np.concatenate([np.zeros(0, np.int64), *[s for _, s, _ in parts[:bad]]])
+        whole = np.concatenate([np.zeros(0, np.int16), *[s for _, s, _ in parts[:bad]]])
         sizes = [len(s) for _, s, _ in parts[:bad]]
         kept = whole.astype(np.int8 if h.bits <= 8 else "<i2").tobytes()
         ok = bad == len(parts) and len(whole) == h.total and (h.md5 == bytes(16) or hashlib.md5(kept).digest() == h.md5)
-        out.append(Decoded(whole, list(zip(_starts(np.array(sizes, np.int64))[:-1].tolist(), sizes, strict=True)), ok, "" if ok else "checksum"))
+        out.append(Decoded(whole, list(zip(_starts(np.array(sizes, np.int64))[:-1].tolist(), sizes, strict=True)), ok, "" if ok else "checksum", h.bits))
     return out
