@@ -1,68 +1,63 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character n-grams.
-
-Texts are read as UTF-8 bytes in 62 classes (small letters, one class for capitals, digits, marks,
-continuation and lead bytes), so a model of order 4 has at most 64**4 n-grams whatever the corpus:
-the bound under which it is sent to every executor (8 bytes an n-gram, at most 134 MB). Counts cover all
-trusted text. The count tables are built and joined by n-gram and by context in shards; each
-worker then fills one table of all probabilities and scores a text in one pass, without a shuffle.
-
-A document is rejected if its perplexity is over its language's threshold: ``margin`` times the
-``quantile`` of that language's trusted documents (of all trusted documents where a language has
-fewer than ``min_docs``), each scored by a model of the other folds, which has not seen its text. A few bytes say little, so perplexity is that of the text and ``prior`` bytes
-more at the trusted mean.
-
-Defined results: a null or empty text has the trusted mean's perplexity and is kept; a null language is
-a language of its own; repeated rows are judged each; without trusted text every document is
-kept, with a null threshold; an empty table gives no rows.
+"""Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
+
+Symbols are the 256 bytes of UTF-8 and a pad before each text, so an n-gram of order 5 is a whole number of 45 bits and
+nothing is hashed. Counts cover all trusted text, and neither they nor the model are bounded, collected or broadcast:
+
+1. Documents are put into a table of chunks of some MB, bucketed by chunk. It is the only copy of the texts.
+2. Counts of trusted text are added up in each task, then by key. Lower orders count distinct left neighbours. A record of
+   the model has an n-gram's count and, as a context, its total and how many n-grams it begins that occur once, twice and more often.
+3. A chunk asks for the records of its distinct n-grams, one blob for each shard of the keys; a shard answers with those
+   that it has. So common n-grams cost one key a chunk, no key is hot, and no document is spread out into its n-grams.
+4. Answers are shuffled to the chunks, whose buckets stay where they are. A chunk computes the probability of each of its
+   distinct n-grams once, and its documents' perplexities from these.
+
+The model of all trusted text judges the documents. Thresholds come from models that leave out one of ``FOLDS`` folds each
+(by the MD5 of the text, so copies share a fold) and score the trusted documents of that fold. A language's threshold is the
+``quantile`` of its n trusted documents' perplexities, drawn to that of all trusted documents in the ratio
+n to ``smoothing``, so a language without trusted text has the latter. A document over its language's threshold
+is rejected. A few bytes say little: perplexity is that of the text and ``prior`` bytes more at the mean of the trusted documents.
+
+Defined results: a null or empty text has the trusted mean's perplexity and is kept; null is a language apart from '' and
+any other; repeated rows are judged each, copies alike; a text of any length is scored as a whole; without trusted text every
+document is kept with null perplexity and threshold; an empty table gives no rows. Columns of the input come back as they are;
+the three new ones must not clash with them (``ValueError``).
 """
 
 from __future__ import annotations
 
-import functools
-import math
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quirelake.session import cut
+from quirelake.session import cut, fresh, scratch_root
 
-K = 64
-ORDER = 4
-PAD = 62
-QUANTILE = 0.999
-MARGIN = 1.0
+ORDER = 5
+SYMBOL = 9  # bits: 0 is the pad, a byte b is b + 1
+_TAG = SYMBOL * ORDER  # the order is written above the symbols
+QUANTILE = 0.995
+SMOOTHING = 30.0
 FOLDS = 2
 PRIOR = 40.0
-MIN_DOCS = 30
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 64 << 20
+SHARD_RECORDS = 500_000
+SHARD_KEYS = 3_000_000
 BROADCAST_ROWS = 4_000_000
-SCALE = 1000
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, 36, np.uint8)
-    for b in range(33, 127):
-        out[b] = 35
-    out[ord("a") : ord("z") + 1] = np.arange(26)
-    out[ord("A") : ord("Z") + 1] = 26
-    out[ord("0") : ord("9") + 1] = 27
-    for marks, value in ((" \t", 28), ("\n\r", 29), (".", 30), (",", 31), (";:", 32), ("!?", 33), ("'\"-()", 34)):
-        for c in marks:
-            out[ord(c)] = value
-    out[128:192] = 38 + (np.arange(128, 192) & 15)
-    out[192:256] = 54 + (np.arange(192, 256) & 7)
-    return out
-
-
-CLASSES = _classes()
+_PART = 1 << 20
+_ALL = -1  # the model of all folds; others have the number of the fold that they leave out
+_FIELDS = ("n", "total", "once", "twice", "more")
 
 
 def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = texts.cast(pa.large_string()).fill_null("")
+    """The bytes of an array of texts, and the texts' edges; null texts are empty."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
@@ -72,54 +67,47 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte, with padding before each text."""
+    """The n-gram of the highest order that ends at each byte, with pads before each text."""
     if not len(raw):
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     gap = ORDER - 1
     sizes = np.diff(edges)
     at = np.arange(len(raw)) + np.repeat(gap * np.arange(1, len(sizes) + 1), sizes)
-    line = np.full(len(raw) + gap * len(sizes), PAD, np.int32)
-    line[at] = CLASSES[raw]
+    line = np.zeros(len(raw) + gap * len(sizes), np.int64)
+    line[at] = raw.astype(np.int64) + 1
     key = line[gap:].copy()
     for back in range(1, ORDER):
-        key += line[gap - back : len(line) - back] * np.int32(K**back)
+        key += line[gap - back : len(line) - back] << (SYMBOL * back)
     return key[at - gap]
 
 
-_PART = 1 << 20
-
-
-def _parts(edges: np.ndarray):
-    """Ranges of texts of about 1 MB."""
-    at = 0
-    while at < len(edges) - 1:
-        to = max(at + 1, int(np.searchsorted(edges, edges[at] + _PART, side="right")) - 1)
-        yield at, to
+def _parts(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the text that a part starts in, n-grams, edges of texts among them) for parts of about 1 MB; a long text has many."""
+    at, end, gap = 0, int(edges[-1]), ORDER - 1
+    while at < end:
+        to = min(at + _PART, end)
+        first = int(np.searchsorted(edges, at, side="right")) - 1
+        last = int(np.searchsorted(edges, to, side="left"))
+        inner = np.clip(edges[first : last + 1], at, to) - at
+        before = min(gap, at - int(edges[first]))  # bytes of the same text in the part before
+        keys = ngrams(raw[at - before : to], np.concatenate([[0], inner[1:] + before]))[before:]
+        yield first, keys, inner
         at = to
 
 
-def count_ngrams(trusted: DataFrame, text_col: str) -> DataFrame:
-    """key, n: how often each n-gram occurs in all trusted text; a task adds up before it sends."""
+def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
+    """Record keys of the last ``order`` symbols."""
+    return (keys & ((1 << SYMBOL * order) - 1)) | (order << _TAG)
 
-    def count(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def add_up():
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+def _context(keys: np.ndarray, order: int) -> np.ndarray:
+    """Record keys of the context of an n-gram's last ``order`` symbols."""
+    return ((keys & ((1 << SYMBOL * order) - 1)) >> SYMBOL) | ((order - 1) << _TAG)
 
-        for batch in batches:
-            raw, edges = _buffer(batch.column(0))
-            for a, b in _parts(edges):
-                held.append(np.unique(ngrams(raw[edges[a] : edges[b]], edges[a : b + 1] - edges[a]), return_counts=True))
-                if len(held) == 16:
-                    held[:] = [add_up()]
-        if held:
-            keys, n = add_up()
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[at : at + 100_000], pa.int64()), "n": pa.array(n[at : at + 100_000], pa.int64())})
 
-    return trusted.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def asked(keys: np.ndarray) -> np.ndarray:
+    """Sorted record keys that the probabilities of these distinct n-grams need."""
+    return np.unique(np.concatenate([f(keys, o) for f in (_suffix, _context) for o in range(1, ORDER + 1)]))
 
 
 def discounts(of: list[int]) -> tuple[float, float, float]:
@@ -132,144 +120,319 @@ def discounts(of: list[int]) -> tuple[float, float, float]:
     return clip(1 - 2 * y * n2 / n1, 0.99), clip(2 - 3 * y * n3 / n2, 1.99), clip(3 - 4 * y * n4 / n3 if n3 else 1.0, 2.99)
 
 
-@dataclass(frozen=True)
-class Model:
-    """Probabilities of the n-grams seen, and the weight of the lower order for each context, by order."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    mean: float = 0.0
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-    def table(self) -> np.ndarray:
-        """Natural logarithms of the probabilities of all n-grams, in steps of 1 / SCALE (2 bytes each)."""
-        lower = np.full(K, 1.0 / K, np.float32)
-        for order, ((keys, p), (ctx, weight)) in enumerate(zip(self.grams, self.contexts, strict=True), 1):
-            gamma = np.ones(K ** (order - 1), np.float32)
-            gamma[ctx] = weight
-            if order < ORDER:
-                # the context of the order below is this one's without its first class, so rows repeat K times
-                full = np.tile(lower.reshape(-1, K), (K if order > 1 else 1, 1)) * gamma[:, None]
-                lower = full.ravel()
-                lower[keys] = p
-        out, rank = np.empty((K, K ** (ORDER - 1)), np.int16), np.argsort(keys)
-        keys, p = keys[rank], p[rank]
-        for first in range(K):  # one block at a time: only the result is held whole
-            block = (lower.reshape(-1, K) * gamma.reshape(K, -1)[first][:, None]).ravel()
-            a, b = np.searchsorted(keys, [first * len(block), (first + 1) * len(block)])
-            block[keys[a:b] - first * len(block)] = p[a:b]
-            out[first] = np.round(np.log(np.maximum(block, 1e-12)) * SCALE)
-        return out.ravel()
-
-
-def _collected(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded table (one row for each n-gram or context of the fixed alphabet) as two arrays."""
-
-    def pack(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"k": [pdf[key].to_numpy(np.int32).tobytes()], "v": [pdf[value].to_numpy(np.float32).tobytes()]})
-
-    rows = df.select(key, value).mapInPandas(pack, "k binary, v binary").collect()
-    keys = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r.k, np.int32) for r in rows]])
-    return keys, np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(r.v, np.float32) for r in rows]])
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> Model | None:
-    """The model of all trusted text; None without any."""
-    counts = [cut(count_ngrams(trusted, text_col), "ngrams")]
-    if counts[0].isEmpty():
-        return None
-    for order in range(ORDER - 1, 0, -1):  # below the highest order, counts are numbers of distinct left neighbours
-        counts.append(cut(counts[-1].groupBy((F.col("key") % K**order).alias("key")).agg(F.count(F.lit(1)).alias("n")), "continuations"))
-    grams, contexts, lower = [], [], None
-    for order in range(1, ORDER + 1):
-        c = counts[ORDER - order]
-        of = c.agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)]).first()
-        d1, d2, d3 = discounts(list(of))
-        c = c.withColumn("ctx", F.floor(F.col("key") / K).cast("long")).withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
-        sums = c.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("kept"))
-        sums = cut(sums.select("ctx", "total", (F.col("kept") / F.col("total")).alias("gamma")), "contexts")
-        joined = c.join(sums, "ctx").withColumn("low", F.col("key") % K ** (order - 1))
-        below = F.lit(1.0 / K)
-        if lower is not None:
-            joined = joined.join(lower.select(F.col("key").alias("low"), F.col("p").alias("below")), "low")
-            below = F.col("below")
-        p = (F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * below
-        lower = cut(joined.select("key", p.alias("p")), "probabilities")
-        grams.append(_collected(lower, "key", "p"))
-        contexts.append(_collected(sums, "ctx", "gamma"))
-    highest = counts[0].join(lower, "key").agg(F.sum(F.col("n") * -F.log("p")) / F.sum("n")).first()[0]
-    return Model(grams, contexts, float(highest))
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _log_table(model: Model) -> np.ndarray:
-    if model.name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.name] = model.table()
-    return _TABLES[model.name]
-
-
-def losses(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of negative log probabilities, and bytes, of each text."""
-    raw, edges = _buffer(texts)
+def log_probabilities(keys: np.ndarray, known: np.ndarray, records: np.ndarray, cuts: list[tuple[float, float, float]]) -> np.ndarray:
+    """Natural logarithms of the probabilities of n-grams. ``known`` are sorted record keys, ``records`` their rows of _FIELDS (zeros where
+    the model has none), ``cuts`` the discounts by order."""
+    p = np.full(len(keys), 1 / 256)
+    for order, d in enumerate(cuts, 1):
+        own = records[np.searchsorted(known, _suffix(keys, order)), 0]
+        total, once, twice, more = records[np.searchsorted(known, _context(keys, order)), 1:].T
+        left = np.where(own > 0, own - np.array([0.0, *d])[np.minimum(own, 3)], 0.0)
+        p = np.where(total > 0, (left + (d[0] * once + d[1] * twice + d[2] * more) * p) / np.maximum(total, 1), p)
+    return np.log(p)
+
+
+def losses(raw: np.ndarray, edges: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Sum of negative log probabilities of each text; ``keys`` are the sorted distinct n-grams, ``logs`` theirs."""
     out = np.zeros(len(edges) - 1)
-    for a, b in _parts(edges):
-        own = edges[a : b + 1] - edges[a]
-        each = -table[ngrams(raw[edges[a] : edges[b]], own)]
-        sums = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-        out[a:b] = (sums[own[1:]] - sums[own[:-1]]) / SCALE
-    return out, np.diff(edges)
+    for first, grams, inner in _parts(raw, edges):
+        sizes = np.diff(inner)
+        some = np.flatnonzero(sizes)
+        out[first + some] -= np.add.reduceat(logs[np.searchsorted(keys, grams)], inner[some])
+    return out
 
 
-def perplexity(spark: SparkSession, text: Column, model: Model, prior: float = PRIOR) -> Column:
-    """Perplexity per byte of each text, as a column."""
-    sent = spark.sparkContext.broadcast(model)
+def _distinct(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    parts = [np.unique(grams) for _, grams, _ in _parts(raw, edges)]
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *parts]))
 
-    @F.arrow_udf("double")
-    def of(texts: pa.Array) -> pa.Array:
-        known = sent.value
-        loss, size = losses(texts, _log_table(known))
-        return pa.array(np.exp((loss + prior * known.mean) / (size + prior)))
 
-    return of(text.cast("string"))
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The documents that a label calls good and none calls toxic. The ids are broadcast up to a checked number of rows."""
-    good = labels.groupBy(F.col(id_col)).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    good = cut(good.where((F.col("q") == 1) & (F.col("t") == 0)).select(id_col), "trusted-ids")
-    return docs.join(F.broadcast(good) if good.count() <= broadcast_rows else good, id_col, "left_semi")
+def _unpack(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all()
+
+
+def _bucketed(df: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets, so that joins by ``by`` leave it where it is. The catalogue forgets it at once."""
+    spark, name = df.sparkSession, f"quirelake_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).option("path", f"{scratch_root(spark)}/quirelake/{label}-{name}").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
 
+def chunked(docs: DataFrame, text_col: str, fold: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
+    """chunk, payload: the columns of ``docs`` and then the fold (-1: not trusted) of some MB of documents."""
+    at = docs.columns.index(text_col)
 
-def thresholds(trusted: DataFrame, model: Model, text_col: str, lang_col: str, quantile: float, margin: float, min_docs: int) -> tuple[DataFrame, float]:
-    """lang_key, threshold (one row per language), and the threshold of all languages together."""
-    fold, parts = F.pmod(F.xxhash64(F.col(text_col)), F.lit(FOLDS)), []  # copies of a text share its fold
-    for k in range(FOLDS):
-        others = train(trusted.where(fold != k), text_col) or model
-        mine = trusted.where(fold == k)
-        mine = mine.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang_key"), perplexity(trusted.sparkSession, F.col(text_col), others).alias("ppl"))
-        parts.append(cut(mine, "trusted-scores"))
-    scored = functools.reduce(DataFrame.unionByName, parts)
-    at = lambda: F.percentile_approx("ppl", quantile, 10_000) * margin
-    every = scored.agg(at()).first()[0]
-    rows = scored.groupBy("lang_key").agg(F.count(F.lit(1)).alias("n"), at().alias("own"))
-    return cut(rows.where(F.col("n") >= min_docs).select("lang_key", F.col("own").alias("threshold")), "thresholds"), float(every)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"payload": pa.array([_pack(pa.Table.from_batches(held))], pa.binary())})
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(at).nbytes
+            if size >= chunk_bytes:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    rows = docs.withColumn(fresh(docs, "fold")[0], fold).mapInArrow(write, "payload binary")
+    return _bucketed(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks", buckets, "chunk")
+
+
+def _texts(payload: pa.Scalar, at: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a chunk: all, or those of one fold."""
+    table = _unpack(payload)
+    text = table.column(at).cast(pa.large_string()).combine_chunks()
+    if fold != _ALL:
+        text = text.filter(pa.compute.equal(table.column(table.num_columns - 1).combine_chunks(), fold))
+    return _buffer(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
+
+
+def count_ngrams(chunks: DataFrame, at: int) -> DataFrame:
+    """fold, key, n: how often each n-gram of the highest order occurs in the trusted text of a fold; a task adds up before it sends."""
+    schema = "fold int, key long, n long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {f: [] for f in range(FOLDS)}
+
+        def add_up(pairs):
+            keys, where = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+            return keys, np.bincount(where, weights=np.concatenate([n for _, n in pairs])).astype(np.int64)
+
+        for batch in batches:
+            for payload in batch.column(0):
+                for fold, pairs in held.items():
+                    pairs += [np.unique(grams, return_counts=True) for _, grams, _ in _parts(*_texts(payload, at, fold))]
+                    if len(pairs) >= 16:
+                        pairs[:] = [add_up(pairs)]
+        for fold, pairs in held.items():
+            keys, n = add_up(pairs) if pairs else (np.zeros(0, np.int64),) * 2
+            for i in range(0, len(keys), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_pydict({"fold": pa.array([fold] * len(keys[part]), pa.int32()), "key": pa.array(keys[part], pa.int64()), "n": pa.array(n[part], pa.int64())})
+
+    return chunks.select("payload").mapInArrow(count, schema).groupBy("fold", "key").agg(F.sum("n").alias("n"))
+
+
+def train(counts: DataFrame) -> tuple[DataFrame, dict[int, list[tuple[float, float, float]]]]:
+    """Records (model, key and _FIELDS) of the models, and the discounts of each by order."""
+    models = F.array(F.lit(_ALL), *[F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)])
+    spread = counts.select(F.explode(F.filter(models, lambda m: m.isNotNull())).alias("model"), "key", "n")
+    by_order = [cut(spread.groupBy("model", "key").agg(F.sum("n").alias("n")), "ngrams")]
+    for order in range(ORDER - 1, 0, -1):  # below the highest order, counts are numbers of distinct left neighbours
+        shorter = F.col("key").bitwiseAND((1 << SYMBOL * order) - 1).alias("key")
+        by_order.insert(0, cut(by_order[0].groupBy("model", shorter).agg(F.count(F.lit(1)).alias("n")), "continuations"))
+    cuts: dict[int, list] = {}
+    parts = []
+    for order, grams in enumerate(by_order, 1):
+        of = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        for r in grams.groupBy("model").agg(*of).collect():  # one row a model
+            cuts.setdefault(r.model, []).append(discounts([r.n1, r.n2, r.n3, r.n4]))
+        zero = F.lit(0).cast("long")
+        parts.append(grams.select("model", F.col("key").bitwiseOR(F.lit(order << _TAG)).alias("key"), "n", *[zero.alias(f) for f in _FIELDS[1:]]))
+        context = F.shiftright("key", SYMBOL).bitwiseOR(F.lit((order - 1) << _TAG)).alias("key")
+        how = [F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count_if(F.col("n") > 2).alias("more")]
+        parts.append(grams.groupBy("model", context).agg(*how).select("model", "key", zero.alias("n"), *_FIELDS[1:]))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return cut(every.groupBy("model", "key").agg(*[F.sum(f).alias(f) for f in _FIELDS]), "records"), cuts
+
+
+def _shard(keys, shards: int):
+    """Of an array of record keys, or of a column."""
+    return keys % 1_000_003 % shards
+
+
+def _shrink(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, compressed."""
+    return np.int64(len(keys)).tobytes() + pa.compress(np.diff(keys, prepend=0).astype("<i8").reshape(-1, 1).view(np.uint8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _grow(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def answers(chunks: DataFrame, at: int, records: DataFrame, shards: int) -> DataFrame:
+    """chunk, model, shard, found (a bit for each key asked), records (of those found): what each chunk needs of each model. The
+    models of folds are asked for the trusted documents of their fold."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                for model in (_ALL, *range(FOLDS)):
+                    wanted = asked(_distinct(*_texts(payload, at, model)))
+                    where = _shard(wanted, shards)
+                    rows += [(s, chunk, model, _shrink(wanted[where == s])) for s in np.unique(where).tolist()]
+                yield pa.RecordBatch.from_pylist([dict(zip(("shard", "chunk", "model", "keys"), r, strict=True)) for r in rows], schema=sent)
+
+    def answer(pdf, known):
+        models = {}
+        for model, part in known.groupby("model"):
+            part = part.sort_values("key")
+            models[model] = part["key"].to_numpy(), part[list(_FIELDS)].to_numpy(np.int64)
+        out = []
+        for chunk, model, raw in zip(pdf["chunk"], pdf["model"], pdf["keys"], strict=True):
+            keys = _grow(raw)
+            has, table = models.get(model, (np.zeros(0, np.int64), np.zeros((0, len(_FIELDS)), np.int64)))
+            where = np.minimum(np.searchsorted(has, keys), max(len(has) - 1, 0))
+            found = has[where] == keys if len(has) else np.zeros(len(keys), bool)
+            body = np.ascontiguousarray(table[where[found]].T) if len(has) else np.zeros((len(_FIELDS), 0), np.int64)
+            out.append((chunk, model, pdf["shard"].iloc[0], np.packbits(found).tobytes(), pa.compress(body.tobytes(), "zstd", asbytes=True)))
+        return pd.DataFrame(out, columns=["chunk", "model", "shard", "found", "records"])
+
+    sent = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("model", pa.int32()), ("keys", pa.binary())])
+    probes = chunks.select("chunk", "payload").mapInArrow(ask, "shard int, chunk long, model int, keys binary")
+    dealt = records.withColumn("shard", _shard(F.col("key"), shards).cast("int"))
+    return probes.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(answer, "chunk long, model int, shard int, found binary, records binary")
+
+
+def scored(chunks: DataFrame, at: int, fields: list[StructField], given: DataFrame, cuts: dict, shards: int, held_out: bool, names: tuple[str, str]) -> DataFrame:
+    """The documents of the chunks with the sum of their negative log probabilities and their bytes: all documents by the model of
+    all folds, or the trusted ones by the model that leaves out their fold (by that of all where the others have no text)."""
+    schema = StructType([*fields, StructField(names[0], DoubleType()), StructField(names[1], LongType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, rows in zip(batch.column(0), batch.column(1), strict=True):
+                table, by_model = _unpack(payload), {}
+                for r in rows.as_py() or ():
+                    by_model.setdefault(r["model"], {})[r["shard"]] = r["found"], r["records"]
+                folds = table.column(table.num_columns - 1)
+                for fold in range(FOLDS) if held_out else (_ALL,):
+                    part = (table.filter(pa.compute.equal(folds, fold)) if held_out else table).combine_chunks()
+                    model = fold if fold in cuts else _ALL
+                    text = part.column(at)
+                    raw, edges = _buffer(pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
+                    keys = _distinct(raw, edges)
+                    # a model's answers are for the keys that were asked of it, in order of key within each shard
+                    known = asked(_distinct(*_texts(payload, at, model)))
+                    records, where = np.zeros((len(known), len(_FIELDS)), np.int64), _shard(known, shards)
+                    for shard, (found, body) in by_model.get(model, {}).items():
+                        mine = np.flatnonzero(where == shard)
+                        mine = mine[np.unpackbits(np.frombuffer(found, np.uint8), count=len(mine)).astype(bool)]
+                        body = pa.decompress(body, 8 * len(_FIELDS) * len(mine), "zstd", asbytes=True)
+                        records[mine] = np.frombuffer(body, np.int64).reshape(len(_FIELDS), len(mine)).T
+                    loss = losses(raw, edges, keys, log_probabilities(keys, known, records, cuts[model])) if len(keys) else np.zeros(len(edges) - 1)
+                    out = part.drop_columns([part.column_names[-1]]).append_column(names[0], pa.array(loss, pa.float64())).append_column(names[1], pa.array(np.diff(edges), pa.int64()))
+                    yield from out.to_batches()
+
+    asked_of = F.col("model") >= 0 if held_out and len(cuts) > FOLDS else F.lit(True) if held_out else F.col("model") == _ALL
+    by_chunk = given.where(asked_of).groupBy("chunk").agg(F.collect_list(F.struct("model", "shard", "found", "records")).alias("answers"))
+    return chunks.join(by_chunk.hint("shuffle_hash"), "chunk", "left").select("payload", "answers").mapInArrow(score, schema)
+
+
+def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", name: str = "trusted", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with a column that says whether a label calls the document good and none calls it toxic. The ids are broadcast up to a
+    checked number of rows and joined by id beyond it."""
+    key, mark = fresh(docs, "labelled", "mark")
+    good = labels.groupBy(F.col(id_col).alias(key)).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    good = cut(good.where((F.col("q") == 1) & (F.col("t") == 0)).select(key, F.lit(True).alias(mark)), "trusted-ids")
+    joined = docs.join(F.broadcast(good) if good.count() <= broadcast_rows else good, docs[id_col] == good[key], "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(mark, F.lit(False)).alias(name))
+
+
+def _language(lang):
+    """Null apart from every text."""
+    return F.when(lang.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), lang))
+
+
+def _perplexity(loss, size, prior: float, mean: float):
+    return F.exp((F.col(loss) + prior * mean) / (F.col(size) + prior))
+
+
+def thresholds(trusted: DataFrame, prior: float, quantile: float, smoothing: float) -> tuple[DataFrame, float, float]:
+    """Language and threshold for each language of the trusted documents (lang, loss, size); that of all of them, and their mean loss a byte."""
+    total = trusted.agg(F.sum("loss"), F.sum("size")).first()
+    mean = (total[0] or 0.0) / (total[1] or 1)
+    rated = trusted.select("lang", _perplexity("loss", "size", prior, mean).alias("p"))
+    at = F.percentile_approx("p", quantile, 10_000)
+    every = rated.agg(at).first()[0]
+    own = rated.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), at.alias("own"))
+    drawn = every + F.col("n") / (F.col("n") + smoothing) * (F.col("own") - every)
+    return cut(own.select("lang", drawn.alias("limit")), "thresholds"), float(every), float(mean)
 
 
 def judge(
-    docs: DataFrame, trusted: DataFrame, text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE,
-    margin: float = MARGIN, min_docs: int = MIN_DOCS,
+    docs: DataFrame, trusted_col: str = "trusted", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, smoothing: float = SMOOTHING,
+    prior: float = PRIOR, chunk_bytes: int = CHUNK_BYTES, shard_records: int = SHARD_RECORDS, names: tuple[str, str, str] = ("perplexity", "threshold", "keep"),
 ) -> DataFrame:
-    """``docs`` with perplexity, threshold and keep. Texts stay where they are."""
-    model = train(trusted, text_col)
-    if model is None:
-        return docs.withColumns({"perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"), "keep": F.lit(True)})
-    rows, every = thresholds(trusted, model, text_col, lang_col, quantile, margin, min_docs)
-    marked = docs.withColumn("perplexity", perplexity(docs.sparkSession, F.col(text_col), model)).withColumn("lang_key", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
-    known = F.broadcast(rows) if rows.count() <= 100_000 else rows
-    marked = marked.join(known, "lang_key", "left").drop("lang_key")
-    limit = F.when(F.col(text_col).isNull() | (F.length(text_col) == 0), F.lit(math.inf)).otherwise(F.coalesce("threshold", F.lit(every)))
-    return marked.withColumn("threshold", F.coalesce("threshold", F.lit(every))).withColumn("keep", F.col("perplexity") <= limit)
+    """``docs`` with perplexity, threshold and keep (or ``names``). ``trusted_col`` marks the trusted documents."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    spark = docs.sparkSession
+    text, parallel = F.col(text_col).cast("string"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    fold = F.pmod(F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 6), 16, 10).cast("int"), F.lit(FOLDS))
+    at, loss, length, lang, limit = docs.columns.index(text_col), *fresh(docs, "loss", "size", "language", "limit")
+    chunks = chunked(docs, text_col, F.when(F.col(trusted_col), fold).otherwise(_ALL).cast("int"), chunk_bytes, max(parallel, size // BUCKET_BYTES))
+    counts = cut(count_ngrams(chunks, at), "ngram-counts")
+    if counts.isEmpty():
+        null = F.lit(None).cast("double")
+        return docs.withColumns({names[0]: null, names[1]: null, names[2]: F.lit(True)})
+    records, cuts = train(counts)
+    shards = max(parallel, int(records.count() // shard_records), int(size // 40 // SHARD_KEYS)) + 1
+    given = cut(answers(chunks, at, records, shards), "answers")
+    known = scored(chunks, at, docs.schema.fields, given, cuts, shards, True, (loss, length))
+    known = cut(known.select(_language(F.col(lang_col).cast("string")).alias("lang"), F.col(loss).alias("loss"), F.col(length).alias("size")), "trusted-scores")
+    limits, every, mean = thresholds(known, prior, quantile, smoothing)
+    limits = limits.select(F.col("lang").alias(lang), F.col("limit").alias(limit))
+    judged = scored(chunks, at, docs.schema.fields, given, cuts, shards, False, (loss, length)).withColumn(lang, _language(F.col(lang_col).cast("string")))
+    judged = judged.join(F.broadcast(limits) if limits.count() <= 100_000 else limits, lang, "left")
+    found, most = _perplexity(loss, length, prior, mean), F.coalesce(F.col(limit), F.lit(every))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias(names[0]), most.alias(names[1]), ((F.col(length) == 0) | (found <= most)).alias(names[2]))
+
+
+def oracle(quantile: float = QUANTILE, smoothing: float = SMOOTHING, prior: float = PRIOR) -> str:
+    """The query in DuckDB SQL: n-grams are strings of hexadecimal digits, a pad is two dots."""
+    steps = [f"c{ORDER} AS (SELECT m, g, sum(n) AS n FROM k JOIN models ON m = -1 OR f <> m WHERE f >= 0 GROUP BY ALL)"]
+    for o in range(ORDER - 1, 0, -1):
+        steps.append(f"c{o} AS (SELECT m, right(g, {2 * o}) AS g, count(*) AS n FROM c{o + 1} GROUP BY ALL)")
+    cut_ = lambda x, most: f"least(greatest({x}, 0.01), {most})"
+    for o in range(1, ORDER + 1):
+        y = "CAST(n1 AS DOUBLE) / (n1 + 2 * n2)"
+        steps.append(f"h{o} AS (SELECT m, " + ", ".join(f"CAST(count(*) FILTER (WHERE n = {i}) AS DOUBLE) AS n{i}" for i in (1, 2, 3, 4)) + f" FROM c{o} GROUP BY m)")
+        ds = [cut_(f"1 - 2 * y * n2 / n1", 0.99), cut_("2 - 3 * y * n3 / n2", 1.99), f"CASE WHEN n3 > 0 THEN {cut_('3 - 4 * y * n4 / n3', 2.99)} ELSE 1.0 END"]
+        steps.append(f"d{o} AS (SELECT m, " + ", ".join(f"CASE WHEN n1 > 0 AND n2 > 0 THEN {d} ELSE 0.5 END AS d{i}" for i, d in enumerate(ds, 1)) + f" FROM (SELECT *, {y} AS y FROM h{o}))")
+        ctx = f"left(g, {2 * (o - 1)})"
+        steps.append(f"t{o} AS (SELECT m, {ctx} AS x, CAST(sum(n) AS DOUBLE) AS t, count(*) FILTER (WHERE n = 1) AS a, count(*) FILTER (WHERE n = 2) AS b, count(*) FILTER (WHERE n > 2) AS c FROM c{o} GROUP BY ALL)")
+    steps.append(f"p0 AS (SELECT DISTINCT m, g, CAST(1.0 / 256 AS DOUBLE) AS p FROM k JOIN models ON m = -1 OR f = m)")
+    for o in range(1, ORDER + 1):
+        own = f"CASE WHEN c{o}.n IS NULL THEN 0 ELSE c{o}.n - CASE c{o}.n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END END"
+        steps.append(
+            f"p{o} AS (SELECT p.m, p.g, CASE WHEN t IS NULL THEN p ELSE ({own} + (d1 * a + d2 * b + d3 * c) * p) / t END AS p FROM p{o - 1} p JOIN d{o} USING (m) "
+            f"LEFT JOIN t{o} ON t{o}.m = p.m AND x = left(right(p.g, {2 * o}), {2 * (o - 1)}) LEFT JOIN c{o} ON c{o}.m = p.m AND c{o}.g = right(p.g, {2 * o}))"
+        )
+    last = f"p{ORDER}"
+    loss = lambda m: f"SELECT r, -sum(n * ln(p)) AS loss FROM k JOIN {last} ON {last}.g = k.g AND m = {m} GROUP BY r"
+    return f"""
+WITH good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(coalesce(toxic, 0)) = 0),
+e AS (SELECT row_number() OVER () AS r, doc_id, lang, strlen(coalesce(text, '')) AS size, hex(encode(coalesce(text, ''))) AS h,
+  CASE WHEN doc_id IN (SELECT doc_id FROM good WHERE doc_id IS NOT NULL) THEN CAST(('0x' || md5(coalesce(text, ''))[1:6]) AS BIGINT) % {FOLDS} ELSE -1 END AS f FROM documents),
+w AS (SELECT r, f, repeat('.', {2 * (ORDER - 1)}) || h AS s, unnest(range(0, size)) AS i FROM e),
+k AS (SELECT r, f, substr(s, 2 * i + 1, {2 * ORDER}) AS g, count(*) AS n FROM w GROUP BY ALL),
+models(m) AS (VALUES (-1){''.join(f', ({f})' for f in range(FOLDS))}),
+{', '.join(steps)},
+held AS (SELECT lang, size, coalesce(loss, 0) AS loss FROM e LEFT JOIN ({loss("f")}) USING (r) WHERE f >= 0),
+mean AS (SELECT sum(loss) / sum(size) AS mean FROM held),
+rated AS (SELECT lang, exp((loss + {prior} * mean) / (size + {prior})) AS p FROM held, mean),
+every AS (SELECT quantile_disc(p, {quantile}) AS every FROM rated),
+own AS (SELECT lang, any_value(every) + count(*) / (count(*) + CAST({smoothing} AS DOUBLE)) * (quantile_disc(p, {quantile}) - any_value(every)) AS own FROM rated, every GROUP BY lang),
+j AS (SELECT doc_id, e.lang, size, exp((coalesce(loss, 0) + {prior} * mean) / (size + {prior})) AS p, coalesce(own, every) AS t
+  FROM e LEFT JOIN ({loss(-1)}) USING (r) CROSS JOIN mean CROSS JOIN every LEFT JOIN own ON own.lang IS NOT DISTINCT FROM e.lang)
+SELECT doc_id, lang, round(p, 6) AS perplexity, round(t, 6) AS threshold, size = 0 OR p <= t AS keep FROM j"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirelake.llm import chat, embeddings, media, mixing, packing, pii, quality, simhash, substring, urls
 from quirelake.session import ship, table
@@ -41,8 +42,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    trusted = quality.with_trust(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, trusted).select("doc_id", "lang", "perplexity", "threshold", "keep")
+    judged = quality.judge(quality.with_trust(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "keep")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": substring.ORACLE, "op5_embeddings": embeddings.ORACLE, "op6_pii": pii.oracle(), "op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
+    return {"op2_substring": substring.ORACLE, "op5_embeddings": embeddings.ORACLE, "op6_pii": pii.oracle(), "op7_quality": quality.oracle(), "op9_chat_format": chat.ORACLE, "op10_url_filter": urls.oracle()}
