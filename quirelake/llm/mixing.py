@@ -13,7 +13,9 @@ source, shard tables one row per shard.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in
 order; sources of size 0 have target 0; repeated rows are documents of their own; an empty table
-gives no rows. Reruns agree: ties in the seeded order are rows with equal id and equal text.
+gives no rows; a text of any length is counted as a whole and may span many blocks; other columns aren't read, so
+their names don't matter. Reruns agree: the seeded order follows id and text, then the columns ``ties``; rows that
+are equal in all of these are alike. Ids travel as text, since a null among longs would make them floating point.
 """
 
 from __future__ import annotations
@@ -114,17 +116,22 @@ def _apportion_sources(targets: DataFrame, max_block: int, seats_at_least: int)
 def mix_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
     share: float = SHARE, cap: float = CAP, seed: int = SEED, shard_words: int = SHARD_WORDS,
-    shard_rows: int = SHARD_ROWS, max_block: int = MAX_BLOCK, seats_at_least: int = SEATS_AT_LEAST,
+    shard_rows: int = SHARD_ROWS, max_block: int = MAX_BLOCK, seats_at_least: int = SEATS_AT_LEAST, row_col: str | None = None, ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, text_hash, size, source_size, target, taken and its segments.
+    """One row per document: id, text_hash, size, source_size, target, taken and its segments; with ``row_col`` (a long without
+    nulls) instead of the id.
 
     ``segments`` is array<struct<first long, last long, times int>>: words [first, last) of the document
     are taken ``times`` times, parts taken 0 times are left out.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = "bigint" if row_col else docs.schema[id_col].dataType.simpleString()
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    sized = docs.select(F.col(id_col).alias("k"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("th"), word_count(F.col(text_col)).alias("size"))
-    sized = cut(sized.withColumn("h", F.xxhash64(F.lit(seed), "k", "th")).withColumn("source_key", key), "mix-sizes")
+    own, text_hash, tie = F.col(id_col), F.xxhash64(text_col), F.xxhash64(F.lit(1), *ties)
+    sized = docs.select(
+        F.col(row_col or id_col).cast("string").alias("k"), F.col(source_col).cast("string").alias("source"), text_hash.alias("th"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(F.lit(seed), own, text_hash).alias("h"), F.coalesce(own.cast("string"), F.lit("")).alias("named"), tie.alias("tie"),
+    )
+    sized = cut(sized.withColumn("source_key", key), "mix-sizes")
     targets = source_targets(sized, weights, share, cap).withColumn("source_key", key)
     targets = cut(targets.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_docs") / shard_rows)).cast("long")), "mix-targets")
     seats = cut(_apportion_sources(targets, max_block, seats_at_least), "mix-seats")
@@ -137,7 +144,7 @@ def mix_documents(
         if not len(pdf):
             return pd.DataFrame(columns=["k", "th", "size", "source_size", "target", "taken", "segments"])
         name, shard = keys
-        pdf = pdf.sort_values(["h", "k", "th"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["h", "named", "th", "tie"], kind="stable").reset_index(drop=True)
         size, block = pdf["size"].to_numpy(np.int64), int(pdf["block"].iloc[0])
         ends = np.cumsum(size)
         total = int(ends[-1])
@@ -163,7 +170,7 @@ def mix_documents(
         pdf["taken"], pdf["segments"] = taken, parts
         return pdf[["k", "th", "size", "source_size", "target", "taken", "segments"]]
 
-    narrow = placed.select("source_key", "shard", "k", "th", "h", "size", "source_size", "target", "block")
-    schema = f"k {id_type}, th long, size long, source_size long, target double, taken long, segments array<struct<first:long,last:long,times:int>>"
+    narrow = placed.select("source_key", "shard", "k", "named", "th", "tie", "h", "size", "source_size", "target", "block")
+    schema = "k string, th long, size long, source_size long, target double, taken long, segments array<struct<first:long,last:long,times:int>>"
     chosen = narrow.groupBy("source_key", "shard").cogroup(shards.groupBy("source_key", "shard")).applyInPandas(choose, schema)
-    return chosen.select(F.col("k").alias(id_col), F.col("th").alias("text_hash"), "size", "source_size", "target", "taken", "segments")
+    return chosen.select(F.col("k").cast(id_type).alias(row_col or id_col), F.col("th").alias("text_hash"), "size", "source_size", "target", "taken", "segments")

@@ -443,8 +443,8 @@ def shared_bands(texts: DataFrame, slots: int) -> DataFrame:
     return texts.select("node", "bands").mapInPandas(spread, "slot long, raw binary").groupBy("slot").applyInPandas(meet, "sig long, node long")
 
 
-def similar_roots(texts: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """node, root for texts (node, bands) joined by links of at least the similarity; ``rows`` has their text by ``_row``.
+def similar_roots(texts: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """node, root for texts (node, bands) joined by links of at least the similarity; ``rows`` has their text ``t`` by ``row``.
 
     Round by round, buckets propose pairs of texts that no verified links join yet: first the pairs with one member,
     then those with more, until each pair of a bucket is joined or has been tested. So a pair that fails leaves both
@@ -453,9 +453,9 @@ def similar_roots(texts: DataFrame, rows: DataFrame, text_col: str, width: int,
     spark = texts.sparkSession
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() * BANDS // ENTRIES_PER_SLOT + 1)
     entries = cut(shared_bands(texts, slots), "shared-bands")
-    needed = entries.select(F.col("node").alias("_row")).distinct()
-    held = cut(rows.select("_row", F.col(text_col).alias("t")).join(needed.hint("shuffle_hash"), "_row"), "compared-texts")
-    side = lambda p: held.select(F.col("_row").alias(p), F.col("t").alias(f"t{p}"))
+    needed = entries.select(F.col("node").alias("row")).distinct()
+    held = cut(rows.select("row", "t").join(needed.hint("shuffle_hash"), "row"), "compared-texts")
+    side = lambda p: held.select(F.col("row").alias(p), F.col("t").alias(f"t{p}"))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -490,15 +490,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def signed(texts: pd.Series) -> pd.Series:
         return pd.Series([bands(t if isinstance(t, str) else None, width).tobytes() for t in texts], dtype=object)
 
-    rows = docs.withColumns({"_bands": signed(F.col(text_col)), "_th": F.xxhash64(text_col), "_tg": F.xxhash64(F.lit(1), F.col(text_col))})
-    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "marked-documents")
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("k"), F.col("_row").alias("r"), F.col("_bands").alias("b"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(
+        F.col(id_col).alias("k"), text.alias("t"), signed(text).alias("bands"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tg"),
+        F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"),
+    )
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "marked-documents")
+    order = F.struct(F.col("k").isNull().alias("n"), "k", "row", F.col("bands"))
     # one node for each distinct text
-    texts = cut(rows.select("_th", "_tg", order.alias("o")).groupBy("_th", "_tg").agg(F.min("o").alias("o")).select("o.n", "o.k", F.col("o.r").alias("node"), F.col("o.b").alias("bands")), "distinct-texts")
-    roots = similar_roots(texts, rows, text_col, width, similarity)
+    texts = cut(rows.select("th", "tg", order.alias("o")).groupBy("th", "tg").agg(F.min("o").alias("o")).select("o.n", "o.k", F.col("o.row").alias("node"), "o.bands"), "distinct-texts")
+    roots = similar_roots(texts, rows, width, similarity)
     nodes = texts.select(F.struct("n", "k", "node").alias("o"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = nodes.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.node").alias("_row"))
-    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*columns)  # texts needn't be sorted
+    kept = nodes.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.node").alias("row"))
+    out = rows.select("row", "t", "rest").join(kept.hint("shuffle_hash"), "row", "left_semi")  # texts needn't be sorted
+    return out.select(*[(F.col("t") if c == text_col else F.col("rest").getField(c)).alias(c) for c in columns])
 
 
 def hex_digits(fp: Column) -> Column:

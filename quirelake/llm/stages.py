@@ -1,19 +1,38 @@
-"""Operators as stages over a table like ``documents``: what is decided takes effect, columns stay."""
+"""Operators as stages over a table like ``documents``: what is decided takes effect, columns stay.
+
+Rows travel as one struct beside the columns a stage adds, so no column of theirs can clash with a working name; columns
+that an operator doesn't read are passed on as they are. Each stage has the defined results of its operator:
+
+========== ======================================================================================================
+null text  kept by quality; one of the empty texts in near-dedup; unchanged by redaction; never taken by the mix
+           (size 0); the closing id alone in packing
+empty text like a null text, but a text of its own in near-dedup
+null id    kept last among like texts; otherwise a document like any other
+ties       repeated rows are judged alike by quality and redaction, one stays in near-dedup, each is a document of
+           its own in the mix and in packing
+long text  judged, redacted, mixed and packed as a whole
+empty table gives an empty table with the same columns
+========== ======================================================================================================
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import mixing, packing, pii, quality, simhash
-from quirelake.session import cut
+from quirelake.session import cut, fresh
+
+
+def _whole(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the quality classifier, trained on all trusted ones, keeps."""
-    judged = quality.judge(docs, quality.with_trust(docs, labels))
-    return judged.where("keep").select(*docs.columns)
+    trusted, *names = fresh(docs, "trusted", "perplexity", "threshold", "keep")
+    judged = quality.judge(quality.with_trust(docs, labels, name=trusted), trusted, names=tuple(names))
+    return judged.where(names[-1]).select(*docs.columns)
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
@@ -30,33 +49,21 @@ def hide_personal(docs: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it: a row for each pass, with the words of that pass.
 
-    A pass over all words has the text as it is, a pass over some has these words joined by spaces.
+    A pass over all words has the text as it is, a pass over some has these words joined by spaces. The choice follows
+    the rows' contents, not their places, so a rerun over the same rows agrees.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    chosen = mixing.mix_documents(rows, id_col="_row").where(F.col("taken") > 0).select("_row", "size", "segments")
-    columns = docs.columns
-
-    def build(batches):
-        for pdf in batches:
-            at, texts = [], []
-            for i, (text, size, segments) in enumerate(zip(pdf["text"], pdf["size"], pdf["segments"], strict=True)):
-                parts = [(s["first"], s["last"], s["times"]) for s in segments]
-                words = None
-                for n in range(1, max(t for _, _, t in parts) + 1):
-                    mine = [(a, b) for a, b, t in parts if t >= n]
-                    at.append(i)
-                    if sum(b - a for a, b in mine) == size:
-                        texts.append(text)
-                        continue
-                    words = words if words is not None else text.encode("utf-8", "surrogatepass").split()
-                    texts.append(b" ".join(b" ".join(words[a:b]) for a, b in mine).decode("utf-8", "surrogatepass"))
-            out = pdf[columns].iloc[at].reset_index(drop=True)
-            out["text"] = pd.Series(texts, dtype=object)
-            yield out
-
-    joined = rows.join(chosen.hint("shuffle_hash"), "_row").select(*columns, "size", "segments")
-    out = joined.mapInPandas(build, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), _whole(docs)), "mix-documents")
+    chosen = mixing.mix_documents(rows, row_col="row", ties=("all",)).where(F.col("taken") > 0).select("row", "size", "segments")
+
+    met = rows.join(chosen.hint("shuffle_hash"), "row").withColumn("n", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("segments", lambda s: s["times"])))))
+    mine = F.filter("segments", lambda s: s["times"] >= F.col("n"))
+    taken = F.aggregate(mine, F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    piece = lambda w: F.array_join(F.flatten(F.transform(mine, lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " ")
+    some = F.element_at(F.transform(F.array(words), piece), 1)  # the words are split once, however many pieces take some
+    out = met.select(F.when(taken == F.col("size"), F.col("text")).otherwise(some).alias("passed"), "doc")
+    new = {"text": F.col("passed"), "n_chars": F.length("passed").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm import mixing, stages
 
@@ -68,15 +69,68 @@ def test_mix(spark, shard_words):
 
 def test_stage_builds_the_texts(spark):
     rows = corpus(3)
-    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_chars long")
+    df = spark.createDataFrame([(*r, 5, i % 3, "z", 0.5) for i, r in enumerate(rows)], "doc_id long, text string, source string, n_chars long, row int, doc string, size double")
     out = stages.mix_sources(df)
     assert out.columns == df.columns
     got = out.collect()
-    want = sum(r.taken for r in mixing.mix_documents(df).collect())
-    # words are cut at blocks of the order within a shard, which the row number of the stage settles anew
-    assert abs(sum(len(r.text.split()) for r in got) - want) < 0.02 * want
+    taken = {}
+    for r in mixing.mix_documents(df).collect():
+        taken.setdefault(r.doc_id, [0])[0] += r.taken
+    words = {}
+    for r in got:
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert {k: n for k, (n,) in taken.items() if n} == words  # the stage takes what the operator takes
+    plain = {}
+    for i, (k, t, s) in enumerate(rows):
+        plain.setdefault((k, s), []).append((t or "").split())
+    for r in got:  # and words in their order
+        assert any(is_part(r.text.split(), w) for w in plain[r.doc_id, r.source])
     whole = {t for _, t, _ in rows}
-    assert all(r.n_chars == len(r.text) for r in got) and sum(r.text in whole for r in got) > 0.3 * len(got)
+    assert all(r.n_chars == len(r.text) and r.doc == "z" for r in got) and sum(r.text in whole for r in got) > 0.3 * len(got)
+    again = stages.mix_sources(df.repartition(5, "source")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def is_part(some, whole):
+    rest = iter(whole)
+    return all(w in rest for w in some)
+
+
+def test_blocks_against_a_plain_choice(spark):
+    """One source in one shard: the order, the blocks, and the seeded choice of those that are passed once more."""
+    rows = [(i, "w " * (3 + 7 * i % 11), "a") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = df.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text")).alias("h")).collect()
+    order = [r.doc_id for r in sorted(hashed, key=lambda r: r.h)]
+    size = {k: len(t.split()) for k, t, _ in rows}
+    total = sum(size.values())
+    target = 1.5 * total
+    block = max(1, min(mixing.MAX_BLOCK, int(target // mixing.SEATS_AT_LEAST)))
+    seats, n = round(target / block), -(-total // block)
+    times = [seats // n] * n
+    for b in np.random.default_rng([mixing.SEED, 0, *b"0a"]).permutation(n)[: seats % n]:
+        times[b] += 1
+    want, at = {}, 0
+    for k in order:
+        want[k] = sum(times[w // block] for w in range(at, at + size[k]))
+        at += size[k]
+    assert {r.doc_id: r.taken for r in mixing.mix_documents(df).collect()} == want
+
+
+def test_ids_beside_a_null_one(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, 2**63 - 1]
+    df = spark.createDataFrame([(i, "one two three", "a") for i in ids], "doc_id long, text string, source string").coalesce(1)
+    assert {r.doc_id for r in mixing.mix_documents(df).collect()} == set(ids)
+
+
+def test_a_text_over_many_blocks(spark):
+    df = spark.createDataFrame([(1, "a b " * 300_000, "s"), (2, "c", "t")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_documents(df).collect()}
+    assert got[1].size == 600_000 and abs(got[1].taken - got[1].target) <= 600
+    out = {r.doc_id: 0 for r in []}
+    for r in stages.mix_sources(df).collect():
+        out[r.doc_id] = out.get(r.doc_id, 0) + len(r.text.split())
+    assert out == {k: r.taken for k, r in got.items() if r.taken}
 
 
 def test_empty_table(spark):
