@@ -80,3 +80,45 @@ def test_redaction_and_empty_table(spark):
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert got == {1: "é [EMAIL] and [PHONE]!", 2: None, 3: "none"}
     assert pii.digest(df.limit(0)).count() == 0
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for s in spans.split(",") if spans else []:
+        kind, a, b = s.split(":")
+        if int(a) >= at:
+            out += [text[at : int(a)], f"[{kind.upper()}]"]
+        at = max(at, int(b))
+    return "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize("step,block", [(2, 5), (128, 1024)])
+def test_redaction_of_many_spans(spark, monkeypatch, step, block):
+    import random
+
+    monkeypatch.setattr(pii, "_STEP", step)
+    monkeypatch.setattr(pii, "_BLOCK", block)
+    draw = random.Random(9)
+    parts = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 415 555 0100", "ssn 123-45-6789", "é😀", " ", "x.y", "a@1.2.3.4", "mail "]
+    rows = [(i, "".join(draw.choice(parts) for _ in range(draw.randrange(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.digest(df).collect()}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {i: plain_redaction(t, spans[i]) for i, t in rows}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "write a@b.co", 1, 2, 3, 4)], "doc_id long, text string, pii int, Blocks int, w_email int, s_ip int")
+    assert pii.redact(df).collect() == [(1, "write [EMAIL]", 1, 2, 3, 4)] and pii.redact(df).columns == df.columns
+    assert [(r.n_email, r.scores) for r in pii.digest(df).collect()] == [(1, "10")]
+
+
+def test_work_grows_with_the_matches(spark):
+    """A log of 300,000 addresses (3.6 MB) in one text."""
+    import time
+
+    text = "10.20.30.40 " * 300_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.time()
+    assert pii.digest(df).first().n_ip == 300_000
+    assert pii.redact(df).first().text == "[IP] " * 300_000
+    assert time.time() - begun < 90
