@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quirelake.session import cut, fresh, scratch_root
+from quirelake.session import cut, forget, fresh, scratch_root
 
 ORDER = 5
 SYMBOL = 9  # bits: 0 is the pad, a byte b is b + 1
@@ -50,6 +50,7 @@ BUCKET_BYTES = 64 << 20
 SHARD_RECORDS = 500_000
 SHARD_KEYS = 3_000_000
 BROADCAST_ROWS = 4_000_000
+ZSTD_LEVEL = 6  # of the chunks
 _PART = 1 << 20
 _ALL = -1  # the model of all folds; others have the number of the fold that they leave out
 _FIELDS = ("n", "total", "once", "twice", "more")
@@ -149,7 +150,7 @@ def _distinct(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def _pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ZSTD_LEVEL))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -248,7 +249,10 @@ def train(counts: DataFrame) -> tuple[DataFrame, dict[int, list[tuple[float, flo
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return cut(every.groupBy("model", "key").agg(*[F.sum(f).alias(f) for f in _FIELDS]), "records"), cuts
+    records = cut(every.groupBy("model", "key").agg(*[F.sum(f).alias(f) for f in _FIELDS]), "records")
+    for grams in by_order:
+        forget(grams)
+    return records, cuts
 
 
 def _shard(keys, shards: int):
@@ -386,8 +390,10 @@ def judge(
         null = F.lit(None).cast("double")
         return docs.withColumns({names[0]: null, names[1]: null, names[2]: F.lit(True)})
     records, cuts = train(counts)
+    forget(counts)
     shards = max(parallel, int(records.count() // shard_records), int(size // 40 // SHARD_KEYS)) + 1
     given = cut(answers(chunks, at, records, shards), "answers")
+    forget(records)
     known = scored(chunks, at, docs.schema.fields, given, cuts, shards, True, (loss, length))
     known = cut(known.select(_language(F.col(lang_col).cast("string")).alias("lang"), F.col(loss).alias("loss"), F.col(length).alias("size")), "trusted-scores")
     limits, every, mean = thresholds(known, prior, quantile, smoothing)
