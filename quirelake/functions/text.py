@@ -61,6 +61,12 @@ def escape_xml(text: Column) -> Column:
     return text
 
 
+def unescape_xml(text: Column) -> Column:
+    for plain, entity in ((">", "&gt;"), ("<", "&lt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return text
+
+
 def quoted_replacement(text: Column) -> Column:
     """``text`` as a replacement that stands for itself."""
     return F.regexp_replace(text, r"([\\$])", r"\\$1")

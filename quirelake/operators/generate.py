@@ -1,7 +1,8 @@
 """Calls of a text generator: retry, continuation, batches of titles, carried context.
 
-A generator is any picklable object with ``generate(prompt: str, attempt: int) -> str``. The ones here work
-offline and always answer alike. Results should be written (``cut``) before they are used twice, since
+A generator is any picklable object with ``generate(request: Request, attempt: int) -> str``. A request may carry a file,
+such as the pages that a chapter is written from. The generators here work offline and always answer alike; real services
+plug in by the same method. Results should be written (``cut``) before they are used twice, since
 a lazy plan would call again.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import pandas as pd
@@ -19,8 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
+@dataclass(frozen=True)
+class Request:
+    """What a model is asked: a prompt, a file with its type, and how to answer."""
+
+    prompt: str
+    attachment: bytes | None = None
+    attachment_type: str = "application/pdf"
+    temperature: float = 0.2
+    answer_type: str = "text/plain"
+
+
 class Generator(Protocol):
-    def generate(self, prompt: str, attempt: int) -> str: ...
+    def generate(self, request: Request, attempt: int) -> str: ...
 
 
 @dataclass(frozen=True)
@@ -29,19 +41,27 @@ class Echo:
 
     change: Callable[[str], str] | None = None
 
-    def generate(self, prompt: str, attempt: int) -> str:
-        body = prompt.partition("\n\n")[2]
+    def generate(self, request: Request, attempt: int) -> str:
+        body = request.prompt.partition("\n\n")[2]
         return self.change(body) if self.change else body
 
 
+@dataclass(frozen=True)
+class ReadBack:
+    """Answers with the text of the file that comes with a request."""
+
+    def generate(self, request: Request, attempt: int) -> str:
+        return (request.attachment or b"").decode("utf-8")
+
+
 @dataclass(frozen=True)
 class Scripted:
     """Answers from a table; a list is read by attempt. Unknown prompts raise."""
 
     answers: dict
 
-    def generate(self, prompt: str, attempt: int) -> str:
-        answer = self.answers[prompt]
+    def generate(self, request: Request, attempt: int) -> str:
+        answer = self.answers[request.prompt]
         return answer if isinstance(answer, str) else answer[min(attempt, len(answer)) - 1]
 
 
@@ -52,9 +72,9 @@ class Truncating:
     inner: Generator
     size: int
 
-    def generate(self, prompt: str, attempt: int) -> str:
-        ask, _, so_far = prompt.partition(CONTINUE)
-        return self.inner.generate(ask, attempt)[len(so_far) :][: self.size]
+    def generate(self, request: Request, attempt: int) -> str:
+        ask, _, so_far = request.prompt.partition(CONTINUE)
+        return self.inner.generate(replace(request, prompt=ask), attempt)[len(so_far) :][: self.size]
 
 
 @dataclass(frozen=True)
@@ -64,10 +84,10 @@ class Flaky:
     inner: Generator
     failures: int
 
-    def generate(self, prompt: str, attempt: int) -> str:
+    def generate(self, request: Request, attempt: int) -> str:
         if attempt <= self.failures:
             raise ConnectionError(f"attempt {attempt}")
-        return self.inner.generate(prompt, attempt)
+        return self.inner.generate(request, attempt)
 
 
 CONTINUE = "\n\n=== continue behind this ===\n"
@@ -81,14 +101,14 @@ class Policy:
     cap_seconds: float = 30.0
     sleep: Callable[[float], None] = field(default=time.sleep)
 
-    def call(self, generator: Generator, prompt: str) -> tuple[str | None, int, str | None]:
+    def call(self, generator: Generator, request: Request | str) -> tuple[str | None, int, str | None]:
         """Answer, attempts used, error."""
-        error = None
+        request, error = Request(request) if isinstance(request, str) else request, None
         for attempt in range(1, self.attempts + 1):
             if attempt > 1:
                 self.sleep(min(2.0 ** (attempt - 1) + 0.1 * (attempt - 1), self.cap_seconds))
             try:
-                answer = generator.generate(prompt, attempt)
+                answer = generator.generate(request, attempt)
                 if answer:
                     return answer, attempt, None
                 error = "empty answer"
@@ -97,14 +117,24 @@ class Policy:
         return None, self.attempts, error
 
 
-def generate(frame: DataFrame, prompt_col: str, generator: Generator, policy: Policy = Policy()) -> DataFrame:
-    """Adds response, attempts and error; one call for each row, in batches as they come."""
-    names = frame.columns
-    schema = StructType([*frame.schema.fields, *(StructField(n, t()) for n, t in (("response", StringType), ("attempts", IntegerType), ("error", StringType)))])
+def generate(
+    frame: DataFrame, prompt_col: str, generator: Generator, policy: Policy = Policy(), attachment_col: str | None = None, like: Request = Request(""),
+) -> DataFrame:
+    """Adds response, attempts and error; one call for each row, in batches as they come. With ``attachment_col`` a row's file goes
+    along and is not returned. ``like`` has the settings of all requests."""
+    fields = [f for f in frame.schema.fields if f.name != attachment_col]
+    names = [f.name for f in fields]
+    schema = StructType([*fields, *(StructField(n, t()) for n, t in (("response", StringType), ("attempts", IntegerType), ("error", StringType)))])
+
+    def ask(prompt, attachment) -> tuple:
+        if not isinstance(prompt, str):
+            return None, 0, "no prompt"
+        return policy.call(generator, replace(like, prompt=prompt, attachment=bytes(attachment) if attachment is not None else None))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [policy.call(generator, p) if isinstance(p, str) else (None, 0, "no prompt") for p in pdf[prompt_col]]
+            files = pdf[attachment_col] if attachment_col else [None] * len(pdf)
+            rows = [ask(p, a) for p, a in zip(pdf[prompt_col], files, strict=True)]
             yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows, columns=["response", "attempts", "error"], dtype=object)], axis=1)
 
     return frame.mapInPandas(run, schema)
@@ -114,13 +144,13 @@ def _complete(text: str) -> bool:
     return re.search(r"<html.*?>.*?</html>", text, re.S) is not None if "</html>" in text else False
 
 
-def continued(generator: Generator, policy: Policy, prompt: str, more: int) -> tuple[str | None, int, str | None]:
-    """An answer and up to ``more`` continuations, until it holds a whole document; a continuation that is
-    whole by itself replaces what came before. Text, calls, error (``incomplete`` if it never closed)."""
+def continued(generator: Generator, policy: Policy, prompt: str, more: int | None) -> tuple[str | None, int, str | None]:
+    """An answer and up to ``more`` continuations (None: as long as they add text), until it holds a whole document; a continuation
+    that is whole by itself replaces what came before. Text, calls, error (``incomplete`` if it never closed)."""
     text, calls, error = policy.call(generator, prompt)
-    while text is not None and not _complete(text) and more > 0:
+    while text is not None and not _complete(text) and (more is None or more > 0):
         part, used, error = policy.call(generator, prompt + CONTINUE + text)
-        calls, more = calls + used, more - 1
+        calls, more = calls + used, more and more - 1
         if part is None:
             break
         text = part if _complete(part) else text + part
@@ -130,7 +160,7 @@ def continued(generator: Generator, policy: Policy, prompt: str, more: int) -> t
 
 
 def translate_items(
-    items: DataFrame, generator: Generator, instruction: str, policy: Policy = Policy(), more: int = 3, context_limit: int = 0,
+    items: DataFrame, generator: Generator, instruction: str, policy: Policy = Policy(), more: int | None = 3, context_limit: int = 0,
 ) -> DataFrame:
     """Items (book, ordinal, member, html) to response, calls and error.
 

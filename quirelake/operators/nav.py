@@ -71,12 +71,54 @@ def parse(docs: DataFrame, book: str = "book", text_col: str = "content") -> Dat
 
 
 def retitle(entries: DataFrame, translated: DataFrame) -> DataFrame:
-    """``entries`` (book, nav_ord, title, src) with the title of the first translated entry (book, src, title, ordinal)
-    whose file has the same name; no match keeps the title."""
-    named = lambda df: df.withColumn("_file", basename(F.col("src")))
-    new = named(translated).select("book", "_file", "ordinal", F.col("title").alias("_new"))
-    out = first_match(named(entries), new, ["book", "_file"], ["ordinal"], ["_new"])
-    return out.withColumn("title", F.coalesce("_new", "title")).drop("_file", "_new")
+    """``entries`` (book, nav_ord, title, src) with the title of the first translated entry (book, src, title, ordinal) of the
+    same source, else of the same file name with its fragment, else of the same file name; no match keeps the title."""
+    out, found = entries, []
+    ways = (lambda c: c, lambda c: basename(c, True), basename)
+    for i, way in enumerate(ways):
+        new = translated.select("book", way(F.col("src")).alias(f"_s{i}"), "ordinal", F.col("title").alias(f"_t{i}"))
+        out = first_match(out.withColumn(f"_s{i}", way(F.col("src"))), new, ["book", f"_s{i}"], ["ordinal"], [f"_t{i}"])
+        found.append(f"_t{i}")
+    return out.withColumn("title", F.coalesce(*found, "title")).select(*entries.columns)
+
+
+def with_titles(raw: str, titles: list[tuple[str, str]]) -> str:
+    """The document with new label texts by source: whole, else by file name with its fragment; all else stays, nesting, head and
+    document type included."""
+    names = lambda src: src.rpartition("/")[2]
+    whole, named = {}, {}
+    for src, title in titles:
+        whole.setdefault(src, title)
+        named.setdefault(names(src), title)
+    root = _tree(raw)
+    for point in root.iter():
+        if _local(point.tag) != "navPoint":
+            continue
+        content = next((c for c in point if _local(c.tag) == "content"), None)
+        src = content.get("src") if content is not None else None
+        title = whole.get(src, named.get(names(src))) if src is not None else None
+        label = _below(point, "text")
+        if title is not None and label is not None:
+            label.text = title
+    space = root.tag.partition("}")[0][1:] if root.tag.startswith("{") else None
+    if space:
+        ET.register_namespace("", space)
+    kind = _DOCTYPE.search(raw)
+    head = '<?xml version="1.0" encoding="utf-8"?>\n' + (f"{kind[0]}\n" if kind else "")
+    return head + ET.tostring(root, encoding="unicode")
+
+
+def retitled(docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """book, member, ncx: navigation documents (book, member, content) with the titles (book, ordinal, src, title) of their book."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "src", "title"))), lambda x: F.struct(x["src"].alias("src"), x["title"].alias("title")))
+    by_book = titles.where(F.col("src").isNotNull() & F.col("title").isNotNull()).groupBy("book").agg(listed.alias("titles"))
+
+    @F.pandas_udf("string")
+    def renamed(raw: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([with_titles(t, [(x["src"], x["title"]) for x in found]) if found is not None else t for t, found in zip(raw, lists, strict=True)], dtype=object)
+
+    both = docs.select("book", "member", F.col("content").cast("string").alias("t")).join(by_book, "book", "left")
+    return both.select("book", "member", renamed("t", "titles").alias("ncx"))
 
 
 def build(chapters: DataFrame, book: str = "book", language: str = "en", cover: str = "Cover", contents: str = "Contents") -> DataFrame:

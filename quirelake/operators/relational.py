@@ -94,10 +94,18 @@ def page_windows(chapters: DataFrame, pages: DataFrame, book: str = "book", buff
     return rows.join(pages, [book, "page_no"])
 
 
-def context_of(frame: DataFrame, keys: list[str], order: list[str], text: str, limit: int) -> Column:
-    """The first ``limit`` characters of the text before, in order; empty at the start or with no limit."""
-    before = F.lag(F.left(F.col(text), F.lit(max(limit, 0)))).over(Window.partitionBy(*keys).orderBy(*order))
-    return F.coalesce(before, F.lit(""))
+def with_previous(frame: DataFrame, keys: list[str], order: list[str], text: str, limit: int, name: str) -> DataFrame:
+    """Keys, order and ``name``: the first ``limit`` characters of the text before, in order; empty at the start, with no limit,
+    or where that text is null. The order must settle ties. The row before is met by its number, a join of equals; a window would
+    sort a hot key in one task."""
+    starts = cut(frame.select(*keys, *order, F.coalesce(F.left(text, F.lit(max(limit, 0))), F.lit("")).alias("_start")), "starts")
+    rows = ordinals(starts, keys, order, "_n")
+    rows = cut(rows, "numbered")
+    before = rows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_n") + 1).alias("_next"), F.col("_start").alias("_before"))
+    same = F.col("_n") == F.col("_next")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(before, same, "left").select(*keys, *order, F.coalesce("_before", F.lit("")).alias(name))
 
 
 def first_fit(size: Column, rungs: list[float], bound: float) -> Column:

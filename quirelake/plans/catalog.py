@@ -14,39 +14,27 @@ from quirelake.functions import html as H
 from quirelake.functions import text as T
 from quirelake.operators import generate as G
 from quirelake.operators import nav, package, pages, relational, progress
-from quirelake.session import cut, ship, table
+from quirelake.plans.registry import QUERIES, SQL
+from quirelake.plans.registry import query as _query
+from quirelake.session import cut
 from quirelake.sources import archive
 from quirelake.streaming import sync
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
 _STRIP = r"regexp_replace({0}, '^[\s]+|[\s]+$', '', 'g')"
 _FULL = r"regexp_extract({0}, '(?s)(?:<\?xml.*?\?>)?(?:<!DOCTYPE.*?>)?(?:<html.*?>).*?</html>')"
 _DIV = r"regexp_extract({0}, '(?s)<div.*?>.*?</div>')"
 _CLEAN = "CASE WHEN contains({0}, '</html>') AND " + _FULL + " <> '' THEN " + _STRIP.format(_FULL) + " ELSE " + _STRIP.format(_DIV) + " END"
 
 
-def _query(sql: str):
-    def register(function):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return function(lambda name: table(spark, sf_dir, name))
-
-        run.__name__ = function.__name__
-        run.__doc__ = function.__doc__
-        _QUERIES[function.__name__], _SQL[function.__name__] = run, sql
-        return run
-
-    return register
-
-
 def queries() -> dict:
-    return dict(_QUERIES)
+    from quirelake.plans import books  # noqa: F401  registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)
 
 
 @_query(f"""SELECT page_id, 'ok' AS status, CASE WHEN contains(html, '</html>') AND {_FULL.format("html")} <> '' THEN 'full'
@@ -184,8 +172,8 @@ def batch_of_ten(t):
 
 @_query("SELECT conv_id, turn, md5(coalesce(lag(left(text, 100)) OVER (PARTITION BY conv_id ORDER BY turn), '')) AS context_md5 FROM conversations")
 def context_lag(t):
-    context = relational.context_of(t("conversations"), ["conv_id"], ["turn"], "text", 100)
-    return t("conversations").select("conv_id", "turn", F.md5(context).alias("context_md5"))
+    rows = relational.with_previous(t("conversations"), ["conv_id"], ["turn"], "text", 100, "context")
+    return rows.select("conv_id", "turn", F.md5("context").alias("context_md5"))
 
 
 @_query("""SELECT source, doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS class,
@@ -333,32 +321,39 @@ def asset_prune(t):
 
 @_query("""WITH img AS (SELECT source AS book, n AS page_no, doc_id FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n_chars % 2 = 0),
   b AS (SELECT source AS book, count(*) AS most FROM documents GROUP BY source),
-  c AS (SELECT b.book, most, unnest(range(0, 5)) AS chapter FROM b)
-  SELECT c.book, chapter, md5(CASE WHEN doc_id IS NULL THEN '<p>a</p><div class="image-placeholder" id="i1" data-page="' || chapter || '" data-description="a plate"></div>'
+  c AS (SELECT b.book, most, unnest(range(0, (most + 2) // 2)) AS chapter FROM b)
+  SELECT c.book, chapter, md5(CASE WHEN doc_id IS NULL THEN '<p>a</p><div class="image-placeholder" id="i1" data-page="' || chapter % 5 || '" data-description="a plate"></div>'
     ELSE '<p>a</p><img src="../images/' || doc_id || '.jpg" alt="a plate" class="chapter-image" />' END || '<p>b</p>') AS md5
-  FROM c LEFT JOIN img ON img.book = c.book AND img.page_no = least(chapter * 2 + 1 + chapter, most)""")
+  FROM c LEFT JOIN img ON img.book = c.book AND img.page_no = least(chapter * 2 + 1 + chapter % 5, most)""")
 def placeholder_fill(t):
-    """Placeholders of five chapters of each book, two pages apart, filled from pages that have an image."""
+    """Placeholders of all chapters of each book, two pages apart, filled from pages that have an image."""
     docs = t("documents").select(F.col("source").alias("book"), "doc_id", "n_chars")
     numbered = cut(relational.ordinals(docs, ["book"], ["doc_id"], "page_no"), "pages")
     n_pages = numbered.groupBy("book").agg(F.max("page_no").alias("n_pages"))
     images = numbered.where(F.col("n_chars") % 2 == 0).select("book", "page_no", F.lit(1).alias("image_no"), F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("name"))
-    chapters = n_pages.select("book", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>")).alias("chapter"))
-    mark = F.concat(F.lit('<div class="image-placeholder" id="i1" data-page="'), F.col("chapter").cast("string"), F.lit('" data-description="a plate"></div>'))
+    chapters = n_pages.select("book", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_pages") / 2).cast("long"))).alias("chapter"))
+    mark = F.concat(F.lit('<div class="image-placeholder" id="i1" data-page="'), (F.col("chapter") % 5).cast("string"), F.lit('" data-description="a plate"></div>'))
     chapters = chapters.select("book", "chapter", (F.col("chapter") * 2 + 1).alias("start_page"), F.concat(F.lit("<p>a</p>"), mark, F.lit("<p>b</p>")).alias("html"))
     done = pages.fill_placeholders(chapters, images, n_pages)
     return done.select("book", "chapter", F.md5("html").alias("md5"))
 
 
-@_query(f"""SELECT n_regionkey AS book, CAST(count(*) + 2 + 2 AS BIGINT) AS n_items, CAST(count(*) + 2 AS BIGINT) AS n_spine, 'chapter_' || max(o) AS last_ref FROM {_CHAPTERS} GROUP BY 1""")
+_XHTML, _IMG = "application/xhtml+xml", "image/png"
+
+
+@_query(f"""SELECT r_regionkey AS book, md5({package.opf_sql("r_name || ' & co'", "'id-' || r_regionkey", "'A &amp; B'", "'2020-01-01T00:00:00'")}) AS md5
+  FROM (SELECT r_regionkey, r_name,
+    string_agg('<item id="chapter_' || o || '" href="text/chapter_' || o || '.html" media-type="{_XHTML}"/>' || chr(10), '' ORDER BY o) AS items,
+    string_agg('<item id="img_' || o || '" href="images/' || lpad(CAST(o AS VARCHAR), 3, '0') || '.png" media-type="{_IMG}"/>' || chr(10), '' ORDER BY o) AS pictures,
+    string_agg('<itemref idref="chapter_' || o || '"/>' || chr(10), '' ORDER BY o) AS refs FROM {_CHAPTERS} JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)""")
 def opf_assembly(t):
-    """Items and reading order of the package document."""
+    """The whole package document: metadata, items, images and reading order."""
     chapters = cut(_chapters(t), "chapters")
-    books = chapters.groupBy("book").agg(F.min("book_title").alias("title"), F.min("identifier").alias("identifier")).withColumns({"author": F.lit("A & B"), "cover": F.lit(None).cast("string")})
-    opf = package.build_opf(books, chapters, chapters.select("book", F.lit("x.txt").alias("name")), "2020-01-01T00:00:00")
-    refs = F.regexp_extract_all("opf", F.lit('itemref idref="([^"]+)"'), F.lit(1))
-    items = F.size(F.regexp_extract_all("opf", F.lit("<item href="), F.lit(0)))
-    return opf.select("book", items.cast("long").alias("n_items"), F.size(refs).cast("long").alias("n_spine"), F.element_at(refs, -1).alias("last_ref"))
+    books = chapters.groupBy("book").agg(F.concat(F.min("book_title"), F.lit(" & co")).alias("title"), F.min("identifier").alias("identifier"))
+    books = books.withColumns({"author": F.lit("A & B"), "cover": F.lit(None).cast("string")})
+    images = chapters.select("book", F.concat(F.lpad(F.col("ordinal").cast("string"), 3, "0"), F.lit(".png")).alias("name"))
+    images = images.unionByName(chapters.select("book", F.lit("x.txt").alias("name")))
+    return package.build_opf(books, chapters, images, "2020-01-01T00:00:00").select("book", F.md5("opf").alias("md5"))
 
 
 @_query("""SELECT CAST(page_id % 20 AS VARCHAR) AS book, 'text/' || page_id || '.html' AS member, md5(html) AS md5 FROM pages
@@ -372,13 +367,15 @@ def archive_round_trip(t):
     return read.select("book", "member", F.md5("content").alias("md5"))
 
 
-@_query("SELECT page_id, md5(html) AS md5, CAST(greatest(1, (length(html) + 1999) // 2000) AS INT) AS calls FROM pages WHERE contains(html, '</html>') AND length(html) <= 20000")
+@_query("""SELECT page_id, CASE WHEN html = '' THEN NULL ELSE md5(html) END AS md5, contains(html, '</html>') AS closed,
+  CASE WHEN contains(html, '</html>') THEN CAST(greatest(1, (length(html) + 1999) // 2000) AS INT) ELSE 0 END AS calls FROM pages WHERE html IS NOT NULL""")
 def translate_continue(t):
-    """A generator that gives 2000 characters at a time is asked until the document closes."""
-    whole = t("pages").where(F.col("html").contains("</html>") & (F.length("html") <= 20000))
+    """A generator that gives 2000 characters at a time is asked until the document closes, or adds nothing more."""
+    whole = t("pages").where(F.col("html").isNotNull())
     items = whole.select(F.lit("b").alias("book"), F.col("page_id").alias("ordinal"), F.lit("").alias("member"), "html")
-    done = G.translate_items(items, G.Truncating(G.Echo(), 2000), "Repeat.", more=20)
-    return done.select(F.col("ordinal").alias("page_id"), F.md5("response").alias("md5"), "calls")
+    done = G.translate_items(items, G.Truncating(G.Echo(), 2000), "Repeat.", G.Policy(1), more=None)
+    closed = F.col("error").isNull()
+    return done.select(F.col("ordinal").alias("page_id"), F.md5("response").alias("md5"), closed.alias("closed"), F.when(closed, F.col("calls")).otherwise(0).alias("calls"))
 
 
 @_query("SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ordinal, c_name AS title, upper(c_name) AS translated FROM customer")
@@ -395,9 +392,11 @@ def title_batches(t):
 def translate_flow(t):
     """Responses cleaned, numbered and batched per book, with the start of the page before as context."""
     done = H.clean(t("pages"), "html").select("page_id", F.regexp_extract("url", "^[^:]*://[^/]+/([^/]*)", 1).alias("book"), F.col("cleaned.content").alias("h"))
-    rows = relational.batches(done, ["book"], ["page_id"])
+    done = cut(done, "cleaned")  # numbering samples its input: cleaned once, and only keys are dealt by ranges
+    numbers = cut(relational.batches(done.select("book", "page_id"), ["book"], ["page_id"]), "numbers")
+    rows = done.join(numbers, ["book", "page_id"])
     # the page before by its number: a join of equals, where a window would hold a book in one task
-    before = rows.select("book", (F.col("ordinal") + 1).alias("ordinal"), F.left("h", F.lit(200)).alias("ctx"))
+    before = done.select("book", "page_id", F.left("h", F.lit(200)).alias("ctx")).join(numbers, ["book", "page_id"]).select("book", (F.col("ordinal") + 1).alias("ordinal"), "ctx")
     rows = rows.join(before, ["book", "ordinal"], "left")
     return rows.select(
         "book", "page_id", F.concat(F.lit("chapter_"), F.col("ordinal").cast("string")).alias("item_id"), (F.col("ordinal") + 2).alias("play_order"), "batch",
@@ -406,4 +405,4 @@ def translate_flow(t):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["translate_flow"](spark, sf_dir)
+    return QUERIES["translate_flow"](spark, sf_dir)

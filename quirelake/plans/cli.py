@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import logging
 import logging.handlers
 from collections.abc import Sequence
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.operators.generate import Echo
+from quirelake.functions import text
+from quirelake.operators import relational
+from quirelake.operators.generate import Policy
 from quirelake.plans import flows
-from quirelake.session import ship
+from quirelake.session import cut, ship
 from quirelake.sources import codecs, structure
+from quirelake.sources.archive import archives_of
 from quirelake.streaming import sync
 
 
@@ -28,6 +33,15 @@ def configure_logging(title: str | None = None, verbose: bool = False) -> loggin
     return log
 
 
+def _plugged(path: str | None):
+    """The object behind ``module:name``; a class or function is called without arguments."""
+    if path is None:
+        return None
+    module, _, name = path.partition(":")
+    found = getattr(importlib.import_module(module), name)
+    return found() if callable(found) and not hasattr(found, "generate") or isinstance(found, type) else found
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("quirelake")
     sub = top.add_subparsers(dest="command", required=True)
@@ -38,17 +52,35 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-c", "--config")
         p.add_argument("-s", "--source-language")
         p.add_argument("-t", "--target-language")
+        p.add_argument("--title")
+        p.add_argument("--target-title")
+        p.add_argument("--author")
+        p.add_argument("--num-retries", type=int)
+        p.add_argument("--max-backoff-seconds", type=float)
+        p.add_argument("--previous-content-limit", type=int)
+        p.add_argument("--max-continuation-attempts", type=int)
+        p.add_argument("--log", help="folder of checkpoints: what they call done is not asked for again")
+        p.add_argument("--generator", help="module:name of the model service")
+        p.add_argument("--decoder", help="module:name of the page decoder")
+        p.add_argument("--codec", help="module:name of the image codec")
+        p.add_argument("--stamp", help="date of the package; now, if not given")
     p = sub.add_parser("shrink")
     p.add_argument("input")
     p.add_argument("output")
     p.add_argument("--dpi", type=int, default=150)
     p.add_argument("--quality", type=int, default=60)
     p.add_argument("--grayscale", action="store_true")
+    p.add_argument("--compressor", help="module:name of the compressor")
     p = sub.add_parser("sync")
-    p.add_argument("source")
-    p.add_argument("target")
+    p.add_argument("source", help="folder to upload from, or to download to")
+    p.add_argument("target", help="folder or store to upload to, or to download from")
     p.add_argument("--checkpoint", required=True)
-    p.add_argument("--final", action="store_true")
+    p.add_argument("--final", action="store_true", help="one round")
+    p.add_argument("--download", action="store_true", help="from target to source")
+    p.add_argument("--seconds", type=float, default=300.0)
+    p.add_argument("--endpoint")
+    p.add_argument("--access-key")
+    p.add_argument("--secret-key")
     p.add_argument("--verbose", action="store_true")
     p = sub.add_parser("config")
     p.add_argument("file")
@@ -61,37 +93,53 @@ def _books(spark: SparkSession, path: str):
     return files.select(F.col("path").alias("book"), "content")
 
 
-def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, generator=None, decoder=None, compressor=None) -> int:
-    """Runs a command. Generators and decoders of real services are passed in; without them the offline ones serve."""
+def _sync(spark: SparkSession, args) -> None:
+    store = {k: v for k, v in (("endpoint", args.endpoint), ("access_key", args.access_key), ("secret_key", args.secret_key)) if v}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for key, value in (("fs.s3a.endpoint", args.endpoint), ("fs.s3a.access.key", args.access_key), ("fs.s3a.secret.key", args.secret_key)):
+        if value:
+            conf.set(key, value)
+    source, target = (args.target, args.source) if args.download else (args.source, args.target)
+    sync.poll(spark, source, target, args.checkpoint, args.seconds, 1 if args.final or args.download else None, store or None)
+
+
+def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, generator=None, decoder=None, compressor=None, codec=None) -> int:
+    """Runs a command. Generators, decoders, codecs and compressors of real services are passed in or named on the command line; a
+    command that needs one doesn't run without. 0: done, 1: some books failed, 2: not run."""
     args = parser().parse_args(argv)
-    log = configure_logging(verbose=getattr(args, "verbose", False))
+    log = configure_logging(getattr(args, "title", None), getattr(args, "verbose", False))
     if args.command == "config":
         print(structure.config_value(args.file, args.key) or "")
         return 0
+    given = {k: _plugged(getattr(args, k, None)) for k in ("generator", "decoder", "compressor", "codec")}
+    generator, decoder, compressor, codec = generator or given["generator"], decoder or given["decoder"], compressor or given["compressor"], codec or given["codec"]
+    needed = {"structure": [("generator", generator)], "translate": [("generator", generator)], "generate": [("generator", generator), ("decoder", decoder)], "shrink": [("compressor", compressor)]}
+    if missing := [name for name, value in needed.get(args.command, ()) if value is None]:
+        log.error("%s needs --%s", args.command, " and --".join(missing))
+        return 2
     spark = spark or SparkSession.builder.appName("quirelake").getOrCreate()
     ship(spark)
-    generator, decoder = generator or Echo(), decoder or codecs.JsonPages()
-    given = {k: v for k, v in vars(args).items() if k in ("source_language", "target_language")}
-    config = structure.load_config(args.config, **given) if getattr(args, "config", None) else structure.Config(**{k: v for k, v in given.items() if v})
-    if args.command == "structure":
-        books = _books(spark, args.input).select("book", F.lit(config.title).alias("title"), F.col("content").cast("string").alias("description"))
-        structure.write_structures(flows.structures(books, generator), args.output)
-    elif args.command == "generate":
-        books = _books(spark, args.input).withColumn("author", F.lit(config.author))
-        asked = flows.structures(books.select("book", F.lit(config.title).alias("title"), F.col("content").cast("string").alias("description")), generator)
-        members = flows.generate_books(books, asked.where(F.col("error").isNull()), decoder, generator, "1970-01-01T00:00:00")
-        from quirelake.sources.archive import archives_of
-
-        archives_of(members).write.mode("overwrite").parquet(args.output)
-    elif args.command == "translate":
-        flows.translate_path(spark, args.input, args.output, generator, config)
+    if args.command == "sync":
+        _sync(spark, args)
     elif args.command == "shrink":
         ladder = ((args.dpi, codecs.checked_quality(args.quality), args.grayscale),)
-        codecs.bounded(_books(spark, args.input), compressor or codecs.Sampling(), 0, ladder).write.mode("overwrite").parquet(args.output)
-    elif args.final:
-        sync.sync_once(spark, args.source, args.target, args.checkpoint)
+        done = codecs.bounded(_books(spark, args.input), compressor, -1, ladder)
+        done.select("book", "content", "input_size", "output_size", relational.size_stats(F.col("input_size"), F.col("output_size")).alias("stats")).write.mode("overwrite").parquet(args.output)
     else:
-        sync.stream_files(spark, args.source, lambda rows, _: sync.write_files(rows, args.target), args.checkpoint).awaitTermination()
+        settings = {k: v for k, v in vars(args).items() if k in {f.name for f in fields(structure.Config)}}
+        config = structure.load_config(args.config, **settings) if args.config else structure.Config(**{k: v for k, v in settings.items() if v is not None})
+        policy = Policy(config.num_retries, config.max_backoff_seconds)
+        if args.command == "translate":
+            return int(flows.translate_path(spark, args.input, args.output, generator, config, args.log) > 0)
+        books = _books(spark, args.input).withColumns({"title": F.lit(config.title).cast("string"), "author": F.lit(config.author).cast("string")})
+        asked = cut(flows.structures(books, generator, policy), "structures")
+        if args.command == "structure":
+            structure.write_structures(asked, args.output)
+        else:
+            stamp = args.stamp or spark.range(1).select(text.utc_stamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))).first()[0]
+            members = flows.generate_books(books, asked.where(F.col("error").isNull()), decoder, generator, stamp, policy, log_path=args.log, codec=codec or codecs.Marked())
+            archives_of(members).write.mode("overwrite").parquet(args.output)
+        return int(asked.where(F.col("error").isNotNull()).count() > 0)
     log.info("done")
     return 0
 

@@ -50,7 +50,7 @@ def test_page_windows(spark):
 def test_context_and_ladder(spark):
     df = spark.createDataFrame([("c", 1, "hello"), ("c", 2, "world"), ("d", 1, "x")], "k string, t int, text string")
     for limit, want in ((3, {("c", 1): "", ("c", 2): "hel", ("d", 1): ""}), (0, {("c", 1): "", ("c", 2): "", ("d", 1): ""})):
-        got = df.select("k", "t", relational.context_of(df, ["k"], ["t"], "text", limit).alias("x")).collect()
+        got = relational.with_previous(df, ["k"], ["t"], "text", limit, "x").collect()
         assert {(r.k, r.t): r.x for r in got} == want
     sizes = spark.createDataFrame([(10,), (100,), (1000,)], "s long")
     assert [r[0] for r in sizes.select(relational.first_fit(F.col("s"), [1.0, 0.5, 0.1], 60)).collect()] == [0, 1, -1]
@@ -83,7 +83,10 @@ def test_retitle_takes_the_first_match(spark):
     entries = spark.createDataFrame([("b", 1, "A", "t/a.html"), ("b", 2, "B", "t/b.html"), ("b", 3, "A2", "a.html#x")], "book string, nav_ord long, title string, src string")
     new = spark.createDataFrame([("b", 2, "late", "a.html"), ("b", 1, "first", "q/a.html#y"), ("c", 1, "other", "b.html")], "book string, ordinal long, title string, src string")
     got = {r.nav_ord: r.title for r in nav.retitle(entries, new).collect()}
-    assert got == {1: "first", 2: "B", 3: "first"}
+    assert got == {1: "late", 2: "B", 3: "first"}  # names with fragments come before names without
+    inside = spark.createDataFrame([("b", 1, "P1", "1.html"), ("b", 2, "P1.1", "1.html#s")], "book string, nav_ord long, title string, src string")
+    own = inside.select("book", F.col("nav_ord").alias("ordinal"), F.lower("title").alias("title"), "src")
+    assert [r.title for r in nav.retitle(inside, own).orderBy("nav_ord").collect()] == ["p1", "p1.1"]
 
 
 def test_unused_images(spark):
