@@ -2,11 +2,12 @@
 
 The vocabulary is searched with one Aho-Corasick automaton per Python worker. A hit counts only
 where the characters beside it are not ASCII letters or digits. One strict hit rejects; so do
-``soft_needed`` distinct soft hits (weights add up, each distinct term once).
+several distinct soft hits whose weights add up to ``soft_needed``, each term counted once.
 
 Defined results: a null url or one without ``://`` has host and path ``''``, fits no rule and is
 judged by the vocabulary (null: allow). Repeated rows each get a verdict. Columns of the input
-other than the id and the url are not read. An empty table gives an empty result.
+other than the id and the url are not read, so their names don't matter. A very long url is searched as a whole, in one pass.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,12 +44,17 @@ RULES = (
     Rule("block", "org/es/"),
 )
 
-# The vocabulary, term -> weight. A strict term alone rejects.
-STRICT = ("casino", "porn", "xxx", "poker", "viagra", "escort", "gambling", "malware", "warez")
-SOFT = {
-    "free": 1.0, "win": 1.0, "bets": 1.0, "bet": 1.0, "bonus": 1.0, "jackpot": 1.0, "adult": 1.0, "sex": 1.0,
-    "cheap": 1.0, "pills": 1.0, "slots": 1.0, "nude": 1.0, "hot": 1.0, "dating": 1.0, "loan": 1.0, "crack": 1.0,
+# The vocabulary. A strict term alone rejects; soft terms reject together, by weight.
+STRICT = (
+    "bookmaker", "bukkake", "camgirl", "camgirls", "cialis", "casino", "casinos", "cumshot", "escort", "escorts", "gambling", "hentai", "keygen", "malware", "milf", "phishing", "poker", "porn",
+    "porno", "pornhub", "roulette", "sportsbook", "tramadol", "viagra", "warez", "xnxx", "xvideos", "xxx",
+)
+SOFT_WEIGHTS = {
+    1.5: ("adult", "bet", "bets", "betting", "crack", "cracked", "erotic", "fetish", "jackpot", "nude", "nudes", "payday", "pills", "serial", "sex", "slots", "torrent"),
+    1.0: ("babes", "bonus", "dating", "detox", "forex", "free", "girls", "hookup", "loan", "loans", "lottery", "lotto", "naked", "pharmacy", "replica", "rolex", "sexy", "singles", "spin", "weightloss", "win", "winner"),
+    0.5: ("18", "amateur", "bonuses", "cash", "cheap", "coupon", "credit", "deal", "deals", "discount", "earn", "hot", "live", "meds", "money", "offer", "prize", "promo", "rich", "sale", "teen", "vip", "webcam"),
 }
+SOFT = {term: weight for weight, terms in SOFT_WEIGHTS.items() for term in terms}
 
 _AUTOMATA: dict[tuple, object] = {}
 
@@ -125,16 +131,16 @@ def judge_urls(
         rule, said = F.when(fits, F.lit(r.prefix)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(said)
     out = base.withColumn("rule", rule).withColumn("_said", said)
     out = out.withColumn("_hits", vocabulary_hits(F.col("_url"), strict, soft))
-    rejected = (F.col("_hits.strict") >= 1) | (F.col("_hits.weight") >= soft_needed)
+    rejected = (F.col("_hits.strict") >= 1) | ((F.col("_hits.soft") >= 2) & (F.col("_hits.weight") >= soft_needed))
     return out.select(
         id_col, "host", "path", "rule",
         F.coalesce("_said", F.when(rejected, "block").otherwise("allow")).alias("verdict"),
-        F.col("_hits.strict").alias("strict_hits"), F.col("_hits.soft").alias("soft_hits"),
+        F.col("_hits.strict").alias("strict_hits"), F.col("_hits.soft").alias("soft_hits"), F.col("_hits.weight").alias("soft_weight"),
     )
 
 
-def oracle(strict=STRICT, soft=SOFT, rules=RULES, soft_needed: int = 2) -> str:
-    """The same in DuckDB SQL (weights of one)."""
+def oracle(strict=STRICT, soft=SOFT, rules=RULES, soft_needed: float = 2.0) -> str:
+    """The same in DuckDB SQL."""
     has = lambda t: f"CAST(regexp_matches(lower(coalesce(url,'')), '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)"
     ordered = sorted(rules, key=lambda r: (-len(r.prefix), r.prefix))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
@@ -149,9 +155,9 @@ WITH p AS (
 h AS (
   SELECT *, CASE {" ".join(f"WHEN {fits(r)} THEN '{r.prefix}'" for r in ordered)} END AS rule,
     CASE {" ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in ordered)} END AS said,
-    {" + ".join(map(has, strict))} AS strict_hits, {" + ".join(map(has, soft))} AS soft_hits
+    {" + ".join(map(has, strict))} AS strict_hits, {" + ".join(map(has, soft))} AS soft_hits, CAST({" + ".join(f"{w} * {has(t)}" for t, w in soft.items())} AS DOUBLE) AS soft_weight
   FROM p)
 SELECT page_id, host, path, rule,
-  coalesce(said, CASE WHEN strict_hits >= 1 OR soft_hits >= {soft_needed} THEN 'block' ELSE 'allow' END) AS verdict,
-  CAST(strict_hits AS INT) AS strict_hits, CAST(soft_hits AS INT) AS soft_hits
+  coalesce(said, CASE WHEN strict_hits >= 1 OR (soft_hits >= 2 AND soft_weight >= {soft_needed}) THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(strict_hits AS INT) AS strict_hits, CAST(soft_hits AS INT) AS soft_hits, soft_weight
 FROM h"""

@@ -23,9 +23,10 @@ def plain(url):
     best = max(fits, key=lambda r: len(r.prefix), default=None)
     low = (url or "").lower()
     has = lambda t: re.search(rf"(?<![a-zA-Z0-9]){t}(?![a-zA-Z0-9])", low) is not None
-    strict, soft = sum(map(has, urls.STRICT)), sum(map(has, urls.SOFT))
-    verdict = best.verdict if best else "block" if strict or soft >= 2 else "allow"
-    return host, path, best.prefix if best else None, verdict, strict, soft
+    strict, soft = sum(map(has, urls.STRICT)), [t for t in urls.SOFT if has(t)]
+    weight = sum(urls.SOFT[t] for t in soft)
+    verdict = best.verdict if best else "block" if strict or (len(soft) >= 2 and weight >= 2) else "allow"
+    return host, path, best.prefix if best else None, verdict, strict, len(soft), weight
 
 
 def test_against_plain_reading(spark):
@@ -38,6 +39,12 @@ def test_against_plain_reading(spark):
         assert tuple(r)[1:] == want, CASES[r.page_id or 4]
 
 
+def test_weights(spark):
+    rows = [("http://a.b/adult", "allow"), ("http://a.b/adult-hot", "block"), ("http://a.b/adult/adult/adult", "allow"), ("http://a.b/hot-sale-deal", "allow"), ("http://a.b/hot-sale-deal-vip", "block"), ("http://a.b/hotel", "allow")]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    assert [r.verdict for r in urls.judge_urls(df).orderBy("page_id").collect()] == [v for _, v in rows]
+
+
 def test_very_long_and_empty(spark):
     long = "http://x.info/" + "a" * 200_000 + "/casino"
     assert urls.judge_urls(spark.createDataFrame([(1, long)], "page_id long, url string")).first().verdict == "block"
