@@ -15,8 +15,10 @@ verified; 64 bits for windows), and gets one bit per anchor or window back. A pa
 documents share is one hash per chunk and slot, so it has no hot task, and no pairs are formed. Bits
 are broadcast up to ``broadcast_bytes`` and joined by chunk beyond that.
 
-Chunk and slot sizes bound a task's memory (about 100 bytes a word); for inputs of many TB raise both, so
-that a chunk still has many hashes for each slot.
+Chunk and slot sizes bound a task's memory (about 100 bytes a word of a chunk, 24 a hash of a slot). Both follow the measured size
+of the input (``sizes_for``), so that a chunk has at least ``BLOB_HASHES`` hashes for each slot: 4 MB and 3 million hashes up to
+some 100 GB, about 50 MB and 30 million at 100 TB. Windows are equal if their 64-bit hashes are, and only windows around hit anchors are
+compared: among n of these, n * n / 2 ** 65 pairs are expected to be taken for equal that are not (one at 6 billion).
 
 Defined results: a null or empty text has no words, nothing removed and the hash of the empty
 string; documents with fewer words than a window keep all; repeated rows are documents of their
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 from quirelake.session import cut
 
 WINDOW = 35
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SLOT_ENTRIES = 3_000_000
+BLOB_HASHES = 16
 BROADCAST_BYTES = 16 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -137,18 +140,40 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Da
     """A written table of chunks: chunk (unique), size (bytes of text), payload."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int64()), "payload": pa.array([_pack(whole)], pa.binary())})
+
         for batch in batches:
             _, edges = _texts(batch)
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(edges, edges[at] + chunk_bytes, side="right")) - 1)
-                yield pa.RecordBatch.from_pydict({"size": pa.array([int(edges[to] - edges[at])], pa.int64()), "payload": pa.array([_pack(batch.slice(at, to - at))], pa.binary())})
+                to = int(np.searchsorted(edges, edges[at] + chunk_bytes - size, side="right")) - 1
+                if to <= at and held:  # the next text goes into a chunk of its own if it is longer than one
+                    yield flush()
+                    held, size = [], 0
+                    continue
+                to = max(to, at + 1)
+                held.append(batch.slice(at, to - at))
+                size += int(edges[to] - edges[at])
                 at = to
+        if held:
+            yield flush()
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return cut(plain.mapInArrow(write, "size long, payload binary").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
+def sizes_for(size: int) -> tuple[int, int]:
+    """Bytes of a chunk and hashes of a slot for so many bytes of text: a chunk of c words and slots of e hashes among w words in all make
+    blobs of c * e / w hashes, and take 100 c and 24 e bytes of memory; the least of both at ``BLOB_HASHES`` a blob."""
+    words = size / 6
+    entries = max(SLOT_ENTRIES, int((100 / 24 * BLOB_HASHES * words) ** 0.5))
+    return max(CHUNK_BYTES, int(6 * BLOB_HASHES * words / entries)), entries
+
+
 def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
     """Edges of the slots in a sorted array of hashes: equal parts of the hash range."""
     bounds = np.array([(s << 64) // slots for s in range(1, slots)], np.uint64)
@@ -281,15 +306,17 @@ def _answer(rows) -> dict[int, bytes]:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES,
-    slot_entries: int = SLOT_ENTRIES, broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int | None = None,
+    slot_entries: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = False,
 ) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 [, kept_text]."""
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    best = sizes_for(size)
+    chunk_bytes, slot_entries = chunk_bytes or best[0], slot_entries or best[1]
     chunks = chunked(docs, id_col, text_col, chunk_bytes)
-    size = chunks.agg(F.sum("size")).first()[0] or 0
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / 6 / slot_entries) + 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,24 @@ def test_short_window_and_text(spark):
 
 def test_empty_table(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sizes_follow_the_input():
+    assert substring.sizes_for(10**9) == (substring.CHUNK_BYTES, substring.SLOT_ENTRIES)
+    for size in (10**6, 10**9, 10**11, 10**12, 10**14):
+        chunk, entries = substring.sizes_for(size)
+        slots = size / 6 / entries
+        assert slots < 1.5 or chunk / 6 / slots >= 0.99 * substring.BLOB_HASHES
+        assert chunk / 6 * 100 < 1 << 30 and entries * 24 < 1 << 30
+
+
+def test_chunks_take_whole_documents_from_several_batches(spark):
+    rows = [(i, "w " * (i % 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        chunks = substring.chunked(df, "doc_id", "text", 2000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = [substring._unpack(bytes(c.payload)).column("id").to_pylist() for c in chunks]
+    assert sorted(sum(ids, [])) == list(range(300)) and all(c.size <= 2000 for c in chunks) and len(chunks) < 12
