@@ -8,7 +8,8 @@ Ids are those of the tokenizer for the whole text. The tokenizer drops white spa
 joins across it, so a text is encoded word by word through a bounded cache in each worker.
 
 Defined results: a null or empty text is the closing id alone; a null id stays null; repeated rows
-are packed each. ``sequence_id`` is unique and follows partition and row order.
+are packed each. ``sequence_id`` is unique and follows partition and row order. Other columns aren't read, so their names
+don't matter; an empty table gives no rows; a text of any length is one row of one task, encoded as a whole.
 """
 
 from __future__ import annotations
@@ -137,7 +138,8 @@ def pack_documents(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN,
     end_id: int = END_ID, with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset [, ids]."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket [, ids]. A bucket has the number
+    of its sequences' length: 2 to its power."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -170,10 +172,10 @@ def pack_documents(
     schema = f"k {id_type}, start long, length long, ids_crc32 long, doc_tokens long, offset long" + ", raw binary" * with_ids
     packed = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(pack, schema)
     packed = packed.withColumn("sequence_id", F.monotonically_increasing_id())
-    names = [F.col("k").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = [F.col("k").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.log2("length").cast("int").alias("bucket")]
     return packed.select(*names, *(["raw"] if with_ids else []))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write sequences with one folder per length, so that a reader batches equal lengths."""
-    packed.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    """Write sequences with one folder per bucket, so that a reader batches equal lengths without padding."""
+    packed.write.partitionBy("bucket").parquet(path)

@@ -60,7 +60,7 @@ def test_empty_table_and_buckets(spark, tmp_path):
     assert packing.pack_documents(empty, PATH).count() == 0
     packed = packing.pack_documents(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), PATH)
     packing.write_buckets(packed, str(tmp_path / "out"))
-    assert {r.bucket for r in spark.read.parquet(str(tmp_path / "out")).select("bucket").collect()} == {4, 2}
+    assert {r.bucket for r in spark.read.parquet(str(tmp_path / "out")).select("bucket").collect()} == {2, 1}
 
 
 def test_ids_beside_a_null_one(spark):
