@@ -12,14 +12,16 @@ against the radius, by expansion from member to member that visits each fingerpr
 bucket returns a star for each set of linked fingerprints, never all pairs. Equal fingerprints are
 one entry, so copies cost nothing.
 
-``keep_one`` tests texts themselves, and fingerprints tell too little of a pair's Jaccard similarity: at 0.8 they
-differ by 9.7 bits on average. Its pairs come from bands of least hashes over the set of shingles instead.
+``keep_one`` tests texts themselves. Its first pairs are the links of the fingerprints of the texts' sets of shingles. These tell
+too little of Jaccard similarity to find all pairs (at 0.8 they differ by 9.7 bits on average), so bands of least hashes over
+the same sets propose the rest.
 
 Entries travel as arrays of (signature, fingerprint), one row for each task and slot.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and is
 linked like any other; null ids are kept, and are never a component's id unless all its ids are
-null; repeated rows are kept; an empty table gives no rows.
+null; repeated rows are kept; an empty table gives no rows; a text of any length counts as a whole. ``near_duplicates`` returns
+``fp`` and ``component_id`` beside the id, so columns of these names aren't passed on; ``keep_one`` returns all columns as they are.
 """
 
 from __future__ import annotations
@@ -358,9 +360,8 @@ _FLIP, _TIMES = _DRAW[0], _DRAW[1] | np.uint64(1)
 _ALL_PAIRS, _HUBS = 64, 16
 
 
-def bands(text: str | None, width: int) -> np.ndarray:
-    """Signatures of the text's set of shingles: each is made of the least values of ``ROWS`` permutations."""
-    hashes = shingle_hashes(text, width)
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """Signatures of a set of shingles by its hashes: each is made of the least values of ``ROWS`` permutations."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(least, ((hashes[None, at : at + 512] ^ _FLIP) * _TIMES).min(axis=1), out=least)
@@ -443,17 +444,18 @@ def shared_bands(texts: DataFrame, slots: int) -> DataFrame:
     return texts.select("node", "bands").mapInPandas(spread, "slot long, raw binary").groupBy("slot").applyInPandas(meet, "sig long, node long")
 
 
-def similar_roots(texts: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+def similar_roots(texts: DataFrame, rows: DataFrame, first_pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """node, root for texts (node, bands) joined by links of at least the similarity; ``rows`` has their text ``t`` by ``row``.
 
-    Round by round, buckets propose pairs of texts that no verified links join yet: first the pairs with one member,
+    ``first_pairs`` (a < b) are tested first. Then, round by round, buckets propose pairs of texts that no verified links join yet: first the pairs with one member,
     then those with more, until each pair of a bucket is joined or has been tested. So a pair that fails leaves both
     texts open to all others, while a group of like texts costs one link each.
     """
     spark = texts.sparkSession
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() * BANDS // ENTRIES_PER_SLOT + 1)
     entries = cut(shared_bands(texts, slots), "shared-bands")
-    needed = entries.select(F.col("node").alias("row")).distinct()
+    ends = [first_pairs.select(F.col(c).alias("row")) for c in "ab"]
+    needed = entries.select(F.col("node").alias("row")).unionByName(ends[0]).unionByName(ends[1]).distinct()
     held = cut(rows.select("row", "t").join(needed.hint("shuffle_hash"), "row"), "compared-texts")
     side = lambda p: held.select(F.col("row").alias(p), F.col("t").alias(f"t{p}"))
 
@@ -461,45 +463,57 @@ def similar_roots(texts: DataFrame, rows: DataFrame, width: int, similarity: flo
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_similar(x, y, width) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    roots, links, tested, first, last = None, None, None, 0, 1
+    test = lambda pairs: cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b"), "text-links")
+    links, tested = test(first_pairs), first_pairs
+    roots, first, last = cut(connected(links), "text-components"), 0, 1
     while True:
-        at = entries.join(roots, "node", "left") if roots is not None else entries.withColumn("root", F.col("node"))
-        at = at.select("sig", "node", F.coalesce("root", "node").alias("root"))
+        at = entries.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         found = _packed(at, slots).groupBy("slot").applyInPandas(_proposer(first, last), "a long, b long").distinct()
-        found = cut(found.join(tested, ["a", "b"], "left_anti") if tested is not None else found, "text-pairs")
+        found = cut(found.join(tested, ["a", "b"], "left_anti"), "text-pairs")
         left, pairs = found.where("a < 0").limit(1).count() > 0, found.where("a >= 0")
-        more = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b"), "text-links")
-        links = more if links is None else links.unionByName(more)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if roots is None or more.limit(1).count():
+        more = test(pairs)
+        links, tested = links.unionByName(more), tested.unionByName(pairs)
+        if more.limit(1).count():
             roots = cut(connected(links), "text-components")
         if not left:
             return roots
         first, last = last, last + (_HUBS if first == 0 else 2 * (last - first))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_pairs(texts: DataFrame, radius: int) -> DataFrame:
+    """a < b: pairs of texts (node, fp) that join all texts of equal or linked fingerprints."""
+    fps = cut(texts.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
+    same = texts.join(fps, "fp").where(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    ends = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
+    near = link_fingerprints(fps, radius).join(ends("a"), "a").join(ends("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    return cut(same.unionByName(near).distinct(), "fingerprint-pairs")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """``docs`` without all but one document of each group: the one with the smallest id (nulls last).
 
     A group is joined by equal texts and by pairs of texts whose sets of shingles have at least the given Jaccard
-    similarity. Pairs are proposed by equal bands of least hashes over these sets, and each is tested on the texts.
+    similarity. Pairs are proposed by fingerprints within the radius and by equal bands of least hashes over these sets, and
+    each is tested on the texts.
     """
     columns = docs.columns
 
-    @F.pandas_udf("binary")
-    def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series([bands(t if isinstance(t, str) else None, width).tobytes() for t in texts], dtype=object)
+    @F.pandas_udf("bands binary, fp long")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        sets = (np.unique(shingle_hashes(t if isinstance(t, str) else None, width)) for t in texts)
+        rows = [(bands(h).tobytes(), majority(h) if len(h) else 0) for h in sets]
+        return pd.DataFrame({"bands": [b for b, _ in rows], "fp": np.array([f for _, f in rows], np.uint64).view(np.int64)})
 
     text = F.col(text_col).cast("string")
     rows = docs.select(
-        F.col(id_col).alias("k"), text.alias("t"), signed(text).alias("bands"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tg"),
+        F.col(id_col).alias("k"), text.alias("t"), signed(text).alias("signed"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tg"),
         F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"),
     )
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "marked-documents")
-    order = F.struct(F.col("k").isNull().alias("n"), "k", "row", F.col("bands"))
+    order = F.struct(F.col("k").isNull().alias("n"), "k", "row", "signed.bands", "signed.fp")
     # one node for each distinct text
-    texts = cut(rows.select("th", "tg", order.alias("o")).groupBy("th", "tg").agg(F.min("o").alias("o")).select("o.n", "o.k", F.col("o.row").alias("node"), "o.bands"), "distinct-texts")
-    roots = similar_roots(texts, rows, width, similarity)
+    texts = cut(rows.select("th", "tg", order.alias("o")).groupBy("th", "tg").agg(F.min("o").alias("o")).select("o.n", "o.k", F.col("o.row").alias("node"), "o.bands", "o.fp"), "distinct-texts")
+    roots = similar_roots(texts, rows, fingerprint_pairs(texts, radius), width, similarity)
     nodes = texts.select(F.struct("n", "k", "node").alias("o"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = nodes.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.node").alias("row"))
     out = rows.select("row", "t", "rest").join(kept.hint("shuffle_hash"), "row", "left_semi")  # texts needn't be sorted

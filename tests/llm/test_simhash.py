@@ -108,7 +108,7 @@ def test_documents_against_brute_force(spark):
         rows.append((i, " ".join(text)))
     rows += [(200, None), (201, ""), (202, " \n "), (203, "one"), (204, "One"), (None, "one"), (3, rows[0][1]), (3, rows[0][1])]
     rows += [(300 + i, "same text over and over again") for i in range(50)]
-    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, fp long").drop("fp")
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, fp long")
     got = simhash.near_duplicates(df).collect()
     values = [plain_fingerprint(t) for _, t in rows]
     root = plain_components(values)
@@ -136,7 +136,19 @@ def test_one_of_each_group_stays(spark):
     rows += [(300 + i, " ".join(base[29].split()[:100] + list(draw.choice(words, 100)))) for i in range(5)]
     rows += [(400, ""), (401, None), (402, " "), (403, "tiny"), (404, "tiny too"), (405, "tiny"), (None, base[0]), (7, base[7]), (7, base[7])]
     got = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got) == [*range(30), *range(300, 305), 400, 403, 404]
+    want = [*range(30), *range(300, 305), 400, 403, 404]
+    assert sorted(got) == want
+    named = spark.createDataFrame([(k, t, 1, "x", 2, 3, 4, 5) for k, t in rows], "doc_id long, text string, fp int, bands string, row int, _row int, rest int, k int")
+    out = simhash.keep_one(named)
+    assert out.columns == named.columns and sorted(tuple(r)[:1] + tuple(r)[2:] for r in out.collect()) == [(k, 1, "x", 2, 3, 4, 5) for k in want]
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, long.replace("w7 ", "x7 ")), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 4]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_wide_radius_links(spark):
