@@ -212,7 +212,8 @@ def test_sync_of_changed_files(spark, tmp_path):
     assert waits == [5.0] and open(f"{target}/a.bin", "rb").read() == b"changed" and open(f"{target}/sub/b.txt").read() == "b"
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
     conf = tmp_path / "c.yaml"
     conf.write_text("title: T\n", encoding="utf-8")
     assert cli.main(["config", str(conf), "title"]) == 0 and capsys.readouterr().out.strip() == "T"
