@@ -18,6 +18,7 @@ from quirelake.plans.registry import query
 from quirelake.session import cut, scratch_root
 from quirelake.sources import archive, codecs, structure
 from quirelake.sources.structure import Config
+from quirelake.streaming import sync
 
 _NOW = G.Policy(3, 0.0)
 
@@ -301,3 +302,56 @@ def checkpoint_cycle(t):
     note(items.where("item = '2' AND CAST(book AS BIGINT) % 2 = 0"), True, "2020-01-02 00:00:00")
     log = items.sparkSession.read.schema(progress.SCHEMA).parquet(path)
     return progress.pending(items, log).select("book", F.col("ordinal").alias("chapter"))
+
+
+class _Carried:
+    """Answers with the first part of the prompt, where the text before is shown."""
+
+    def generate(self, request, attempt):
+        return "<html>" + request.prompt.partition("\n\n")[0].replace("<html>", "") + "</html>"
+
+
+@query("""WITH RECURSIVE n AS (SELECT n_regionkey AS r, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+  a(r, i, response) AS (SELECT r, i, '<html>go</html>' FROM n WHERE i = 1
+    UNION ALL SELECT n.r, n.i, '<html>' || replace('go' || chr(10) || 'Before: ' || left(a.response, 12), '<html>', '') || '</html>' FROM a JOIN n ON n.r = a.r AND n.i = a.i + 1)
+  SELECT n.k AS n_nationkey, a.response FROM a JOIN n ON n.r = a.r AND n.i = a.i""")
+def context_carry(t):
+    """Each answer is given the start of the one before it, book by book in order."""
+    items = t("nation").select(F.col("n_regionkey").cast("string").alias("book"), F.col("n_nationkey").cast("long").alias("ordinal"), F.lit("").alias("member"), F.lit("x").alias("html"))
+    done = G.translate_items(items, _Carried(), "go", _NOW, context_limit=12)
+    return done.select(F.col("ordinal").cast("int").alias("n_nationkey"), "response")
+
+
+_FILES = "(SELECT 'r' || n_regionkey || '/' || n_name || '.txt' AS relative, n_name || chr(10) || n_nationkey AS content, n_nationkey FROM nation)"
+
+
+@query(f"SELECT relative, md5(CASE WHEN n_nationkey % 4 = 0 THEN content || '!' ELSE content END) AS md5, CAST(strlen(content) + CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size FROM {_FILES}")
+def folder_sync(t):
+    """Files are put into a folder and copied; some change under their name and are copied again; the copy is listed and read."""
+    nations = t("nation")
+    spark, base = nations.sparkSession, f"{scratch_root(nations.sparkSession)}/quirelake/sync-{uuid.uuid4().hex}"
+    source, target = f"{base}/in", f"{base}/out"
+    files = nations.select("n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/"), "n_name", F.lit(".txt")).alias("relative"), F.concat("n_name", F.lit("\n"), F.col("n_nationkey").cast("string")).alias("text"))
+    sync.write_files(files.select("relative", F.encode("text", "UTF-8").alias("content")), source)
+    sync.sync_changed(spark, source, target, f"{base}/state")
+    some = files.where(F.col("n_nationkey") % 4 == 0).select("relative", F.encode(F.concat("text", F.lit("!")), "UTF-8").alias("content"))
+    sync.write_files(some, source)
+    sync.sync_changed(spark, source, target, f"{base}/state")
+    listed = structure.listing(spark, target) if structure.folder_exists(spark, target) else structure.listing(spark, source).limit(0)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+    read = read.select(F.concat(F.element_at(F.split("path", "/"), -2), F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("relative"), F.md5("content").alias("md5"))
+    return listed.join(read, "relative").select("relative", "md5", "size")
+
+
+@query("""SELECT * FROM (VALUES ('title', 'A: title', 'Given'), ('author', 'None', ''), ('num_retries', '7', '7'), ('target_language', '', 'German'), ('max_backoff_seconds', '', '30.0')) AS c(key, in_file, merged)""")
+def config_file(t):
+    """Settings of a file as text, and with those given on top over the defaults."""
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as folder:  # read by the driver alone
+        path = Path(folder) / "config.yaml"
+        path.write_text("title: 'A: title '\nauthor: null\nnum_retries: 7\nunknown: 1\n", encoding="utf-8")
+        merged = structure.load_config(str(path), title="Given", target_language="German")
+        rows = [(k, structure.config_value(str(path), k), str(v) if (v := getattr(merged, k)) is not None else "") for k in ("title", "author", "num_retries", "target_language", "max_backoff_seconds")]
+    return t("region").sparkSession.createDataFrame(rows, "key string, in_file string, merged string")

@@ -17,7 +17,7 @@ from quirelake.operators import relational
 from quirelake.operators.generate import Policy
 from quirelake.plans import flows
 from quirelake.session import cut, ship
-from quirelake.sources import codecs, structure
+from quirelake.sources import codecs, pdf, structure
 from quirelake.sources.archive import archives_of
 from quirelake.streaming import sync
 
@@ -61,7 +61,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-continuation-attempts", type=int)
         p.add_argument("--log", help="folder of checkpoints: what they call done is not asked for again")
         p.add_argument("--generator", help="module:name of the model service")
-        p.add_argument("--decoder", help="module:name of the page decoder")
+        p.add_argument("--decoder", help="module:name of the page decoder; PDF files, if not given")
         p.add_argument("--codec", help="module:name of the image codec")
         p.add_argument("--stamp", help="date of the package; now, if not given")
     p = sub.add_parser("shrink")
@@ -112,8 +112,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, g
         print(structure.config_value(args.file, args.key) or "")
         return 0
     given = {k: _plugged(getattr(args, k, None)) for k in ("generator", "decoder", "compressor", "codec")}
-    generator, decoder, compressor, codec = generator or given["generator"], decoder or given["decoder"], compressor or given["compressor"], codec or given["codec"]
-    needed = {"structure": [("generator", generator)], "translate": [("generator", generator)], "generate": [("generator", generator), ("decoder", decoder)], "shrink": [("compressor", compressor)]}
+    generator, decoder, compressor, codec = generator or given["generator"], decoder or given["decoder"] or pdf.PdfPages(), compressor or given["compressor"], codec or given["codec"]
+    needed = {"structure": [("generator", generator)], "translate": [("generator", generator)], "generate": [("generator", generator)], "shrink": [("compressor", compressor)]}
     if missing := [name for name, value in needed.get(args.command, ()) if value is None]:
         log.error("%s needs --%s", args.command, " and --".join(missing))
         return 2
