@@ -63,9 +63,14 @@ def cut(df: DataFrame, label: str = "cut", partition_by: list[str] | None = None
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quirelake_path = path
+    written(path)
+    return out
+
+
+def written(path: str) -> None:
+    """Tells ``scratch`` of a table in the shared folder."""
     for paths in _SCOPES:
         paths.append(path)
-    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -85,7 +90,7 @@ _SCOPES: list[list[str]] = []
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes the tables that ``cut`` writes inside the block when it ends, but for those given to the function that it hands out."""
+    """Deletes the tables that ``cut`` writes, or ``written`` tells of, inside the block when it ends, but for those given to the function that it hands out."""
     paths: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
