@@ -25,6 +25,7 @@ the three new ones must not clash with them (``ValueError``).
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quirelake.session import cut, forget, fresh, scratch_root
+from quirelake.session import cut, forget, fresh, scratch_root, written
 
 ORDER = 5
 SYMBOL = 9  # bits: 0 is the pad, a byte b is b + 1
@@ -162,7 +163,9 @@ def _unpack(payload: pa.Scalar) -> pa.Table:
 def _bucketed(df: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
     """``df`` written to the shared folder in buckets, so that joins by ``by`` leave it where it is. The catalogue forgets it at once."""
     spark, name = df.sparkSession, f"quirelake_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, by).option("path", f"{scratch_root(spark)}/quirelake/{label}-{name}").format("parquet").saveAsTable(name)
+    path = f"{scratch_root(spark)}/quirelake/{label}-{name}"
+    df.write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(name)
+    written(path)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out
@@ -231,25 +234,25 @@ def train(counts: DataFrame) -> tuple[DataFrame, dict[int, list[tuple[float, flo
     """Records (model, key and _FIELDS) of the models, and the discounts of each by order."""
     models = F.array(F.lit(_ALL), *[F.when(F.col("fold") != k, F.lit(k)) for k in range(FOLDS)])
     spread = counts.select(F.explode(F.filter(models, lambda m: m.isNotNull())).alias("model"), "key", "n")
-    by_order = [cut(spread.groupBy("model", "key").agg(F.sum("n").alias("n")), "ngrams")]
+    by_order = [spread.groupBy("model", "key").agg(F.sum("n").alias("n"))]
     for order in range(ORDER - 1, 0, -1):  # below the highest order, counts are numbers of distinct left neighbours
+        if order >= ORDER - 2:
+            by_order[0] = cut(by_order[0], "ngrams")  # lower orders are few and quickly counted again
         shorter = F.col("key").bitwiseAND((1 << SYMBOL * order) - 1).alias("key")
-        by_order.insert(0, cut(by_order[0].groupBy("model", shorter).agg(F.count(F.lit(1)).alias("n")), "continuations"))
+        by_order.insert(0, by_order[0].groupBy("model", shorter).agg(F.count(F.lit(1)).alias("n")))
     cuts: dict[int, list] = {}
     parts = []
+    of = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    how_often = [grams.groupBy("model").agg(*of).withColumn("o", F.lit(order)) for order, grams in enumerate(by_order, 1)]
+    for r in sorted(functools.reduce(DataFrame.unionByName, how_often).collect(), key=lambda r: r.o):  # one row a model and order
+        cuts.setdefault(r.model, []).append(discounts([r.n1, r.n2, r.n3, r.n4]))
     for order, grams in enumerate(by_order, 1):
-        of = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        for r in grams.groupBy("model").agg(*of).collect():  # one row a model
-            cuts.setdefault(r.model, []).append(discounts([r.n1, r.n2, r.n3, r.n4]))
         zero = F.lit(0).cast("long")
         parts.append(grams.select("model", F.col("key").bitwiseOR(F.lit(order << _TAG)).alias("key"), "n", *[zero.alias(f) for f in _FIELDS[1:]]))
         context = F.shiftright("key", SYMBOL).bitwiseOR(F.lit((order - 1) << _TAG)).alias("key")
         how = [F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count_if(F.col("n") > 2).alias("more")]
         parts.append(grams.groupBy("model", context).agg(*how).select("model", "key", zero.alias("n"), *_FIELDS[1:]))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    records = cut(every.groupBy("model", "key").agg(*[F.sum(f).alias(f) for f in _FIELDS]), "records")
+    records = cut(functools.reduce(DataFrame.unionByName, parts).groupBy("model", "key").agg(*[F.sum(f).alias(f) for f in _FIELDS]), "records")
     for grams in by_order:
         forget(grams)
     return records, cuts
@@ -325,7 +328,7 @@ def scored(chunks: DataFrame, at: int, fields: list[StructField], given: DataFra
                     raw, edges = _buffer(pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()))
                     keys = _distinct(raw, edges)
                     # a model's answers are for the keys that were asked of it, in order of key within each shard
-                    known = asked(_distinct(*_texts(payload, at, model)))
+                    known = asked(keys if model == fold else _distinct(*_texts(payload, at, model)))
                     records, where = np.zeros((len(known), len(_FIELDS)), np.int64), _shard(known, shards)
                     for shard, (found, body) in by_model.get(model, {}).items():
                         mine = np.flatnonzero(where == shard)
@@ -374,7 +377,7 @@ def thresholds(trusted: DataFrame, prior: float, quantile: float, smoothing: flo
 
 def judge(
     docs: DataFrame, trusted_col: str = "trusted", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, smoothing: float = SMOOTHING,
-    prior: float = PRIOR, chunk_bytes: int = CHUNK_BYTES, shard_records: int = SHARD_RECORDS, names: tuple[str, str, str] = ("perplexity", "threshold", "keep"),
+    prior: float = PRIOR, chunk_bytes: int | None = None, shard_records: int = SHARD_RECORDS, names: tuple[str, str, str] = ("perplexity", "threshold", "keep"),
 ) -> DataFrame:
     """``docs`` with perplexity, threshold and keep (or ``names``). ``trusted_col`` marks the trusted documents."""
     if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
@@ -382,6 +385,7 @@ def judge(
     spark = docs.sparkSession
     text, parallel = F.col(text_col).cast("string"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunk_bytes = chunk_bytes or min(CHUNK_BYTES, max(_PART, size // (4 * parallel)))  # a small input still makes work for all cores
     fold = F.pmod(F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 6), 16, 10).cast("int"), F.lit(FOLDS))
     at, loss, length, lang, limit = docs.columns.index(text_col), *fresh(docs, "loss", "size", "language", "limit")
     chunks = chunked(docs, text_col, F.when(F.col(trusted_col), fold).otherwise(_ALL).cast("int"), chunk_bytes, max(parallel, size // BUCKET_BYTES))
