@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelake.llm import stages
-from quirelake.session import cut, forget, scratch, ship, table
+from quirelake.session import cut, forget, scratch, ship, table, tidy
 
 ORACLE_SQL = None
 
@@ -20,20 +20,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     ship(spark)
     return stages.keep_distinct(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     return stages.hide_personal(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     ship(spark)
     return stages.mix_sources(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tidy(spark)
     import public_tokenizers
 
     ship(spark)

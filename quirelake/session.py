@@ -7,6 +7,7 @@ executors share, and ``cut`` ends a lineage by writing a table there.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -85,6 +86,12 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SCOPES: list[list[str]] = []
 
 
