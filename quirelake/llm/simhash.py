@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.components import connected
-from quirelake.session import cut
+from quirelake.session import cut, forget
 
 BITS = 64
 RADIUS = 4
@@ -476,6 +476,8 @@ def similar_roots(texts: DataFrame, rows: DataFrame, first_pairs: DataFrame, wid
         if more.limit(1).count():
             roots = cut(connected(links), "text-components")
         if not left:
+            forget(held)
+            forget(entries)
             return roots
         first, last = last, last + (_HUBS if first == 0 else 2 * (last - first))
 

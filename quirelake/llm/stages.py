@@ -17,17 +17,13 @@ empty table gives an empty table with the same columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import mixing, packing, pii, quality, simhash
 from quirelake.session import cut, fresh
 
 
-def _whole(docs: DataFrame) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-
-
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the quality classifier, trained on all trusted ones, keeps."""
     trusted, *names = fresh(docs, "trusted", "perplexity", "threshold", "keep")
@@ -52,18 +48,19 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     A pass over all words has the text as it is, a pass over some has these words joined by spaces. The choice follows
     the rows' contents, not their places, so a rerun over the same rows agrees.
     """
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), _whole(docs)), "mix-documents")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id", "source")], F.lit(0).alias(fresh(docs, "none")[0])).alias("rest")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), rest)
+    rows = cut(rows, "mix-documents")
     chosen = mixing.mix_documents(rows, row_col="row", ties=("all",)).where(F.col("taken") > 0).select("row", "size", "segments")
-
-    met = rows.join(chosen.hint("shuffle_hash"), "row").withColumn("n", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("segments", lambda s: s["times"])))))
+    met = rows.drop("all").join(chosen.hint("shuffle_hash"), "row").withColumn("n", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("segments", lambda s: s["times"])))))
     mine = F.filter("segments", lambda s: s["times"] >= F.col("n"))
     taken = F.aggregate(mine, F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     piece = lambda w: F.array_join(F.flatten(F.transform(mine, lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " ")
     some = F.element_at(F.transform(F.array(words), piece), 1)  # the words are split once, however many pieces take some
-    out = met.select(F.when(taken == F.col("size"), F.col("text")).otherwise(some).alias("passed"), "doc")
-    new = {"text": F.col("passed"), "n_chars": F.length("passed").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns])
+    out = met.select(F.when(taken == F.col("size"), F.col("text")).otherwise(some).alias("passed"), "doc_id", "source", "rest")
+    new = {"text": F.col("passed"), "n_chars": F.length("passed").cast("long"), "doc_id": F.col("doc_id"), "source": F.col("source")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
