@@ -113,12 +113,12 @@ def test_clashing_names(spark):
 
 
 def test_work_grows_with_the_matches(spark):
-    """A log of 300,000 addresses (3.6 MB) in one text."""
+    """A log of 100,000 addresses (1.2 MB) in one text; by the square of the matches it took minutes."""
     import time
 
-    text = "10.20.30.40 " * 300_000
+    text = "10.20.30.40 " * 100_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     begun = time.time()
-    assert pii.digest(df).first().n_ip == 300_000
-    assert pii.redact(df).first().text == "[IP] " * 300_000
-    assert time.time() - begun < 90
+    assert pii.digest(df).first().n_ip == 100_000
+    assert pii.redact(df).first().text == "[IP] " * 100_000
+    assert time.time() - begun < 60
