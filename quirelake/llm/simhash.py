@@ -358,6 +358,7 @@ BANDS, ROWS = 30, 5  # at Jaccard 0.8 a pair shares no band with probability (1
 _DRAW = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FLIP, _TIMES = _DRAW[0], _DRAW[1] | np.uint64(1)
 _ALL_PAIRS, _HUBS = 64, 16
+SKETCH_BYTES_PER_SLOT = 32 << 20
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -371,29 +372,118 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_pairs(signatures: np.ndarray, nodes: np.ndarray, roots: np.ndarray, first: int, last: int) -> tuple[np.ndarray, bool]:
+def _buckets(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by signature and node, and the edges of the buckets in it."""
+    order = np.lexsort((nodes, signatures))
+    s = signatures[order]
+    return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
+
+
+def bucket_pairs(signatures: np.ndarray, nodes: np.ndarray, roots: np.ndarray, first: int, last: int, near=None) -> tuple[np.ndarray, bool]:
     """Pairs of nodes with equal signature and different roots, and whether some are left for later rounds.
 
     In each bucket the members from place ``first`` up to ``last``, by node, are paired with all members after them;
-    from place 1 on, buckets of up to ``_ALL_PAIRS`` are paired in full.
+    from place 1 on, buckets of up to ``_ALL_PAIRS`` are paired in full. ``near(i, others)`` says which pairs of entries count at all.
     """
-    order = np.lexsort((nodes, signatures))
-    s, v, r = signatures[order], nodes[order], roots[order]
-    edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
+    order, edges = _buckets(signatures, nodes)
+    v, r = nodes[order], roots[order]
     out, left = [], False
+
+    def after(i, b):
+        found = np.arange(i + 1, b)[r[i + 1 : b] != r[i]]
+        return found[near(order[i], order[found])] if near is not None and len(found) else found
+
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if (r[a:b] == r[a]).all():
             continue
         size = b - a
         stop = size if first and size <= _ALL_PAIRS else min(last, size)
         for i in range(a + first, a + stop):
-            other = v[i + 1 : b][r[i + 1 : b] != r[i]]
+            other = v[after(i, b)]
             if len(other):
                 out.append(np.stack([np.full(len(other), v[i]), other], axis=1))
-        left |= stop < size - 1
+        left = left or (stop < size - 1 if near is None else any(len(after(i, b)) for i in range(a + stop, b - 1)))
     return (np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)), left
 
 
+def bucket_trees(signatures: np.ndarray, nodes: np.ndarray, roots: np.ndarray, near) -> np.ndarray:
+    """Pairs of nodes that join, in each bucket, all roots that near pairs join: one pair fewer than roots, however many are near."""
+    order, edges = _buckets(signatures, nodes)
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        rest = order[a:b]
+        while len(rest) and (roots[rest] != roots[rest[0]]).any():
+            mine = roots[rest] == roots[rest[0]]
+            queue, rest = rest[mine].tolist(), rest[~mine]
+            while queue and len(rest):
+                at = queue.pop()
+                reached = rest[near(at, rest)]
+                if len(reached):
+                    joined, one = np.unique(roots[reached], return_index=True)
+                    ends = nodes[reached[one]]
+                    out.append(np.stack([np.minimum(ends, nodes[at]), np.maximum(ends, nodes[at])], axis=1))
+                    mine = np.isin(roots[rest], joined)
+                    queue += rest[mine].tolist()
+                    rest = rest[~mine]
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def open_entries(signatures: np.ndarray, nodes: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Places of the entries in buckets of more than one root."""
+    order, edges = _buckets(signatures, nodes)
+    r = roots[order]
+    if not len(r):
+        return order
+    mixed = np.minimum.reduceat(r, edges[:-1]) != np.maximum.reduceat(r, edges[:-1])
+    return order[np.repeat(mixed, np.diff(edges))]
+
+
+_SKETCH_BITS = 4  # for each shingle, at least
+
+
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits that say whether an odd number of a set's hashes fall to them, in words; their number is a power of two.
+
+    Two sets that differ in d members have sketches that differ in d bits or fewer, so a pair that differs in more bits than
+    the similarity allows members is not alike: sketches reject pairs, but never one that the test would pass.
+    """
+    words = 1 << max(0, (_SKETCH_BITS * len(hashes) - 1).bit_length() - 6)
+    at = _mix(hashes, 64) % np.uint64(64 * words)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+class Sketches:
+    """Which of many sets may be alike, by their sizes and sketches. The longer of two sketches is folded to the other's length."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, raw: bytes, similarity: float):
+        self.sizes, self.words, self.similarity = sizes, words, similarity
+        line, start = np.frombuffer(raw, np.uint64), np.cumsum(words) - words
+        self.at, self.held = np.zeros(len(words), np.int64), {}
+        for w in np.unique(words).tolist():
+            who = np.flatnonzero(words == w)
+            self.at[who] = np.arange(len(who))
+            self.held[w, w] = line[start[who][:, None] + np.arange(w)]
+
+    def _folded(self, w: int, to: int) -> np.ndarray:
+        if (w, to) not in self.held:
+            longer = self._folded(w, 2 * to)
+            self.held[w, to] = longer[:, :to] ^ longer[:, to:]
+        return self.held[w, to]
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may be alike to set i."""
+        n, m, s = self.sizes[i], self.sizes[others], self.similarity
+        fits = np.minimum(n, m) >= s * np.maximum(n, m) - 1e-6
+        most = (1 - s) / (1 + s) * (n + m) + 1e-6
+        own, theirs = int(self.words[i]), self.words[others]
+        for w in np.unique(theirs[fits]).tolist():
+            some = np.flatnonzero(fits & (theirs == w))
+            to = min(w, own)
+            differ = self._folded(w, to)[self.at[others[some]]] ^ self._folded(own, to)[self.at[i]]
+            fits[some] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most[some]
+        return fits
+
+
 def _packed(entries: DataFrame, slots: int) -> DataFrame:
     """Rows sig, node, root as arrays, one row for each batch and slot: a bucket of any size is few rows."""
 
@@ -410,10 +500,49 @@ def _packed(entries: DataFrame, slots: int) -> DataFrame:
     return entries.mapInPandas(pack, "slot long, raw binary")
 
 
-def _proposer(first: int, last: int):
+def _rows(pdf: pd.DataFrame, width: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(raw, np.int64).reshape(-1, width) for raw in pdf["raw"]])
+
+
+def _first_with_others(pdf: pd.DataFrame) -> pd.DataFrame:
+    e = _rows(pdf, 3)
+    return pd.DataFrame(bucket_pairs(e[:, 0], e[:, 1], e[:, 2], 0, 1)[0], columns=["a", "b"])
+
+
+def _still_open(pdf: pd.DataFrame) -> pd.DataFrame:
+    e = _rows(pdf, 3)
+    return pd.DataFrame(e[open_entries(e[:, 0], e[:, 1], e[:, 2])], columns=["sig", "node", "root"])
+
+
+def _packed_sketches(entries: DataFrame, slots: int) -> DataFrame:
+    """Rows sig, node, root, size, sketch like ``_packed``; the sketches follow one another in a column of their own."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                sketches = batch["sketch"].tolist()
+                words = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+                rows = np.column_stack([batch[["sig", "node", "root", "size"]].to_numpy(np.int64), words])
+                slot = (np.ascontiguousarray(rows[:, 0]).view(np.uint64) % np.uint64(slots)).astype(np.int64)
+                order = np.argsort(slot, kind="stable")
+                edges = np.searchsorted(slot[order], np.arange(slots + 1))
+                parts = [(i, order[edges[i] : edges[i + 1]]) for i in np.flatnonzero(np.diff(edges)).tolist()]
+                yield pd.DataFrame([(i, rows[p].tobytes(), b"".join(sketches[k] for k in p.tolist())) for i, p in parts], columns=["slot", "raw", "sketches"])
+
+    return entries.mapInPandas(pack, "slot long, raw binary, sketches binary")
+
+
+def _proposer(first: int, last: int, similarity: float):
+    """Pairs that may be alike: a tree of them for each bucket (``last`` 0), or those of members in the places given. A pair of -1 says that some are left."""
+
     def propose(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = np.concatenate([np.frombuffer(raw, np.int64).reshape(-1, 3) for raw in pdf["raw"]])
-        pairs, left = bucket_pairs(e[:, 0], e[:, 1], e[:, 2], first, last)
+        e = _rows(pdf, 5)
+        near = Sketches(e[:, 3], e[:, 4], b"".join(pdf["sketches"]), similarity).near
+        if last:
+            pairs, left = bucket_pairs(e[:, 0], e[:, 1], e[:, 2], first, last, near)
+        else:
+            pairs = bucket_trees(e[:, 0], e[:, 1], e[:, 2], near)
+            left = len(pairs) > 0
         return pd.DataFrame(np.concatenate([pairs, [[-1, -1]]]) if left else pairs, columns=["a", "b"])
 
     return propose
@@ -447,9 +576,11 @@ def shared_bands(texts: DataFrame, slots: int) -> DataFrame:
 def similar_roots(texts: DataFrame, rows: DataFrame, first_pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """node, root for texts (node, bands) joined by links of at least the similarity; ``rows`` has their text ``t`` by ``row``.
 
-    ``first_pairs`` (a < b) are tested first. Then, round by round, buckets propose pairs of texts that no verified links join yet: first the pairs with one member,
-    then those with more, until each pair of a bucket is joined or has been tested. So a pair that fails leaves both
-    texts open to all others, while a group of like texts costs one link each.
+    ``first_pairs`` (a < b) are tested first, then one member of each bucket with the others. Buckets with texts that no verified links join yet
+    go on with sketches of their texts' sets, which reject pairs that can't be alike where they meet: first a tree of the pairs that may be
+    alike is tested in each, then, round by round, those of more and more members, until each pair of a bucket is joined, rejected or has
+    been tested. So a pair that fails leaves both texts open to all others, a group of like texts costs one link each, and texts that
+    have much in common, but too little, are not paired on.
     """
     spark = texts.sparkSession
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() * BANDS // ENTRIES_PER_SLOT + 1)
@@ -459,27 +590,43 @@ def similar_roots(texts: DataFrame, rows: DataFrame, first_pairs: DataFrame, wid
     held = cut(rows.select("row", "t").join(needed.hint("shuffle_hash"), "row"), "compared-texts")
     side = lambda p: held.select(F.col("row").alias(p), F.col("t").alias(f"t{p}"))
 
+    @F.pandas_udf("size long, sketch binary")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t if isinstance(t, str) else None, width)) for t in texts]
+        return pd.DataFrame({"size": np.array([len(h) for h in sets], np.int64), "sketch": [odd_sketch(h).tobytes() for h in sets]})
+
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_similar(x, y, width) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
 
     test = lambda pairs: cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b"), "text-links")
     links, tested = test(first_pairs), first_pairs
-    roots, first, last = cut(connected(links), "text-components"), 0, 1
+    roots = cut(connected(links), "text-components")
+    rooted = lambda e: e.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    narrowed = lambda e: cut(_packed(rooted(e), slots).groupBy("slot").applyInPandas(_still_open, "sig long, node long, root long"), "open-bands")
+    found = _packed(rooted(entries), slots).groupBy("slot").applyInPandas(_first_with_others, "a long, b long").distinct()
+    still, sketches, first, last = entries, None, 0, 0
     while True:
-        at = entries.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        found = _packed(at, slots).groupBy("slot").applyInPandas(_proposer(first, last), "a long, b long").distinct()
         found = cut(found.join(tested, ["a", "b"], "left_anti"), "text-pairs")
-        left, pairs = found.where("a < 0").limit(1).count() > 0, found.where("a >= 0")
+        left, pairs = sketches is None or found.where("a < 0").limit(1).count() > 0, found.where("a >= 0")
         more = test(pairs)
         links, tested = links.unionByName(more), tested.unionByName(pairs)
         if more.limit(1).count():
             roots = cut(connected(links), "text-components")
-        if not left:
-            forget(held)
-            forget(entries)
+        before, still = still, narrowed(still) if left else still
+        if left:
+            forget(before)
+        if not left or still.isEmpty():
+            for table in (held, still, *([] if sketches is None else [sketches])):
+                forget(table)
             return roots
-        first, last = last, last + (_HUBS if first == 0 else 2 * (last - first))
+        if sketches is None:
+            who = still.select(F.col("node").alias("row")).distinct()
+            sketches = cut(held.join(who.hint("shuffle_hash"), "row").select(F.col("row").alias("node"), sketched("t").alias("s")).select("node", "s.*"), "sketches")
+        met = still.join(sketches, "node")
+        bytes_met = met.agg(F.sum(F.octet_length("sketch"))).first()[0] or 0
+        found = _packed_sketches(met, max(slots, bytes_met // SKETCH_BYTES_PER_SLOT + 1)).groupBy("slot").applyInPandas(_proposer(first, last, similarity), "a long, b long").distinct()
+        first, last = (last, last + 4 * (last - first)) if last else (1, 1 + _HUBS)
 
 
 def fingerprint_pairs(texts: DataFrame, radius: int) -> DataFrame:

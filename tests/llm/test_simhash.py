@@ -248,3 +248,54 @@ def test_like_texts_that_share_a_fingerprint_with_an_unlike_one(spark):
     texts = [passage * 400 + tail for tail in (tails[0], tails[1], " ".join(near))]
     assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
     assert kept_ids(spark, texts) == groups_left(texts) == [0, 1]
+
+
+def test_sketches_reject_only_what_the_test_rejects():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 7, 40, 130, 900):
+        sets = []
+        for keep in np.linspace(1, 0, 60):
+            base = draw.integers(0, 2**64, n, dtype=np.uint64) if not sets else sets[0]
+            sets.append(np.unique(np.concatenate([base[: int(len(base) * keep)], draw.integers(0, 2**64, int(draw.integers(0, n // 4 + 1)), dtype=np.uint64)])))
+        raw = [simhash.odd_sketch(h) for h in sets]
+        held = simhash.Sketches(np.array([len(h) for h in sets]), np.array([len(r) for r in raw]), b"".join(r.tobytes() for r in raw), 0.8)
+        everyone, passed, like = np.arange(len(sets)), 0, 0
+        for i, one in enumerate(sets):
+            near = held.near(i, everyone)
+            for j, two in enumerate(sets):
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                alike = both >= 0.8 * (len(one) + len(two) - both)
+                assert near[j] or not alike
+                passed, like = passed + bool(near[j]), like + alike
+        assert n < 100 or passed < 1.3 * like
+
+
+def test_buckets_with_sketches_give_trees_and_pairs():
+    draw = np.random.default_rng(4)
+    nodes, sig = draw.permutation(300), draw.integers(0, 3, 300)
+    kind = nodes % 7
+    near = lambda i, others: kind[others] == kind[i]
+    tree = simhash.bucket_trees(sig, nodes, nodes, near)
+    assert len(tree) == 300 - 3 * 7 and (tree[:, 0] < tree[:, 1]).all()
+    roots = np.where(kind == 3, 3, nodes)
+    assert len(simhash.bucket_trees(sig, nodes, roots, near)) == len(tree) - sum(max(0, int(((sig == k) & (kind == 3)).sum()) - 1) for k in range(3))
+    assert not len(simhash.bucket_trees(sig, nodes, kind, near)) and not len(simhash.open_entries(sig, nodes, sig))
+    want = {(min(a, b), max(a, b)) for a, x, s in zip(nodes, kind, sig) for b, y, t in zip(nodes, kind, sig) if a != b and x == y and s == t}
+    seen, first, last, left = set(), 0, 1, True
+    while left:
+        pairs, left = simhash.bucket_pairs(sig, nodes, nodes, first, last, near)
+        seen |= {tuple(p) for p in pairs.tolist()}
+        first, last = last, last + 16
+    assert seen == want
+
+
+def test_pairs_tested_grow_with_a_group_of_somewhat_like_texts(spark, monkeypatch):
+    """Texts at 0.6 to 0.9 to one another, as in a family of drafts: few pairs come to the test of texts, and no link is lost."""
+    draw = np.random.default_rng(5)
+    base = " ".join(f"w{i}" for i in draw.integers(0, 10**6, 150))
+    texts = [t for changes in (2, 5, 6, 7, 9) for t in variants(draw, base, 100, changes)]
+    tested = []
+    real = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, label="cut", *a: (tested.append(out) if label == "text-pairs" else None, out)[1] if (out := real(df, label, *a)) else None)
+    assert kept_ids(spark, texts) == groups_left(texts)
+    assert sum(t.count() for t in tested) < 20 * len(texts)
