@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quirelake.session import cut, forget, fresh, scratch_root, written
+from quirelake.session import cut, forget, fresh, scratch_root, tidy, written
 
 ORDER = 5
 SYMBOL = 9  # bits: 0 is the pad, a byte b is b + 1
@@ -109,7 +109,15 @@ def _context(keys: np.ndarray, order: int) -> np.ndarray:
 
 def asked(keys: np.ndarray) -> np.ndarray:
     """Sorted record keys that the probabilities of these distinct n-grams need."""
-    return np.unique(np.concatenate([f(keys, o) for f in (_suffix, _context) for o in range(1, ORDER + 1)]))
+    suffixes = {ORDER: keys}  # sorted, and so are their contexts
+    for order in range(ORDER - 1, 0, -1):
+        suffixes[order] = np.unique(suffixes[order + 1] & ((1 << SYMBOL * order) - 1))
+    out = []
+    for order in range(ORDER + 1):
+        found = [_context(suffixes[order + 1], order + 1)] if order < ORDER else []
+        found = [c[np.concatenate([[True], c[1:] != c[:-1]])] if len(c) else c for c in found] + ([_suffix(suffixes[order], order)] if order else [])
+        out.append(np.unique(np.concatenate(found)) if len(found) > 1 else found[0])
+    return np.concatenate(out)
 
 
 def discounts(of: list[int]) -> tuple[float, float, float]:
@@ -274,7 +282,7 @@ def _grow(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
-def answers(chunks: DataFrame, at: int, records: DataFrame, shards: int) -> DataFrame:
+def answers(chunks: DataFrame, at: int, records: DataFrame, shards: int, models: tuple[int, ...] = (_ALL, *range(FOLDS))) -> DataFrame:
     """chunk, model, shard, found (a bit for each key asked), records (of those found): what each chunk needs of each model. The
     models of folds are asked for the trusted documents of their fold."""
 
@@ -282,21 +290,21 @@ def answers(chunks: DataFrame, at: int, records: DataFrame, shards: int) -> Data
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for model in (_ALL, *range(FOLDS)):
+                for model in models:
                     wanted = asked(_distinct(*_texts(payload, at, model)))
                     where = _shard(wanted, shards)
                     rows += [(s, chunk, model, _shrink(wanted[where == s])) for s in np.unique(where).tolist()]
                 yield pa.RecordBatch.from_pylist([dict(zip(("shard", "chunk", "model", "keys"), r, strict=True)) for r in rows], schema=sent)
 
     def answer(pdf, known):
-        models = {}
+        by_model = {}
         for model, part in known.groupby("model"):
             part = part.sort_values("key")
-            models[model] = part["key"].to_numpy(), part[list(_FIELDS)].to_numpy(np.int64)
+            by_model[model] = part["key"].to_numpy(), part[list(_FIELDS)].to_numpy(np.int64)
         out = []
         for chunk, model, raw in zip(pdf["chunk"], pdf["model"], pdf["keys"], strict=True):
             keys = _grow(raw)
-            has, table = models.get(model, (np.zeros(0, np.int64), np.zeros((0, len(_FIELDS)), np.int64)))
+            has, table = by_model.get(model, (np.zeros(0, np.int64), np.zeros((0, len(_FIELDS)), np.int64)))
             where = np.minimum(np.searchsorted(has, keys), max(len(has) - 1, 0))
             found = has[where] == keys if len(has) else np.zeros(len(keys), bool)
             body = np.ascontiguousarray(table[where[found]].T) if len(has) else np.zeros((len(_FIELDS), 0), np.int64)
@@ -305,7 +313,7 @@ def answers(chunks: DataFrame, at: int, records: DataFrame, shards: int) -> Data
 
     sent = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("model", pa.int32()), ("keys", pa.binary())])
     probes = chunks.select("chunk", "payload").mapInArrow(ask, "shard int, chunk long, model int, keys binary")
-    dealt = records.withColumn("shard", _shard(F.col("key"), shards).cast("int"))
+    dealt = records.where(F.col("model").isin(*models)).withColumn("shard", _shard(F.col("key"), shards).cast("int"))
     return probes.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(answer, "chunk long, model int, shard int, found binary, records binary")
 
 
@@ -393,14 +401,23 @@ def judge(
     if counts.isEmpty():
         null = F.lit(None).cast("double")
         return docs.withColumns({names[0]: null, names[1]: null, names[2]: F.lit(True)})
+    tidy(spark)  # shuffle files of steps that are done would stay beside the next ones'
     records, cuts = train(counts)
     forget(counts)
+    tidy(spark)
     shards = max(parallel, int(records.count() // shard_records), int(size // 40 // SHARD_KEYS)) + 1
-    given = cut(answers(chunks, at, records, shards), "answers")
-    forget(records)
+    apart = len(cuts) > FOLDS  # models of folds answer first and their answers go, unless the model of all must stand in for one
+    given = cut(answers(chunks, at, records, shards, tuple(range(FOLDS)) if apart else (_ALL, *range(FOLDS))), "answers")
+    tidy(spark)
     known = scored(chunks, at, docs.schema.fields, given, cuts, shards, True, (loss, length))
     known = cut(known.select(_language(F.col(lang_col).cast("string")).alias("lang"), F.col(loss).alias("loss"), F.col(length).alias("size")), "trusted-scores")
     limits, every, mean = thresholds(known, prior, quantile, smoothing)
+    if apart:
+        forget(given)
+        tidy(spark)
+        given = cut(answers(chunks, at, records, shards, (_ALL,)), "answers")
+    forget(records)
+    tidy(spark)
     limits = limits.select(F.col("lang").alias(lang), F.col("limit").alias(limit))
     judged = scored(chunks, at, docs.schema.fields, given, cuts, shards, False, (loss, length)).withColumn(lang, _language(F.col(lang_col).cast("string")))
     judged = judged.join(F.broadcast(limits) if limits.count() <= 100_000 else limits, lang, "left")

@@ -164,3 +164,20 @@ def test_recall_of_labelled_junk(spark):
     junk = {r.doc_id for r in labels.where("quality = 0").collect()}
     assert good <= kept
     assert len(junk - kept) >= 0.9 * len(junk)
+
+
+def test_answers_of_folds_go_before_those_of_all_are_written(spark, monkeypatch):
+    steps, cut, forget = [], quality.cut, quality.forget
+
+    def noted(df, label="cut", *a):
+        out = cut(df, label, *a)
+        if label == "answers":
+            steps.append(("written", {r.model for r in out.select("model").distinct().collect()}))
+            out.is_answers = True
+        return out
+
+    monkeypatch.setattr(quality, "cut", noted)
+    monkeypatch.setattr(quality, "forget", lambda df: (steps.append(("gone", None)) if getattr(df, "is_answers", False) else None, forget(df)))
+    rows = [(i, f"text number {i} with some words", "en", i % 4 > 0) for i in range(40)]
+    assert quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, trusted boolean")).count() == 40
+    assert steps == [("written", {0, 1}), ("gone", None), ("written", {-1})]
