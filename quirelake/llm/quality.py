@@ -52,7 +52,8 @@ SHARD_RECORDS = 500_000
 SHARD_KEYS = 3_000_000
 BROADCAST_ROWS = 4_000_000
 ZSTD_LEVEL = 6  # of the chunks
-_PART = 1 << 20
+_PART = 1 << 63 - _TAG  # a place in a part fits beside an n-gram
+_LEAST_CHUNK = 1 << 20
 _ALL = -1  # the model of all folds; others have the number of the fold that they leave out
 _FIELDS = ("n", "total", "once", "twice", "more")
 
@@ -70,21 +71,40 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def ngrams(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The n-gram of the highest order that ends at each byte, with pads before each text."""
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    gap = ORDER - 1
-    sizes = np.diff(edges)
-    at = np.arange(len(raw)) + np.repeat(gap * np.arange(1, len(sizes) + 1), sizes)
-    line = np.zeros(len(raw) + gap * len(sizes), np.int64)
-    line[at] = raw.astype(np.int64) + 1
-    key = line[gap:].copy()
+    line = raw.astype(np.int64)
+    line += 1
+    key = line.copy()
     for back in range(1, ORDER):
-        key += line[gap - back : len(line) - back] << (SYMBOL * back)
-    return key[at - gap]
+        line <<= SYMBOL
+        key[back:] |= line[:-back]
+    sizes = np.diff(edges)
+    for at in range(ORDER - 1):  # what reaches into the text before is pads
+        key[edges[:-1][sizes > at] + at] &= (1 << SYMBOL * (at + 1)) - 1
+    return key
+
+
+def _first(values: np.ndarray) -> np.ndarray:
+    """Whether each of these sorted values differs from the one before."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
+def _unique(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting integers takes less than hashing them, as ``np.unique`` does."""
+    values = np.sort(values)
+    return values[_first(values)]
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    at = np.flatnonzero(_first(values))
+    return values[at], np.diff(at, append=len(values))
 
 
 def _parts(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the text that a part starts in, n-grams, edges of texts among them) for parts of about 1 MB; a long text has many."""
+    """(number of the text that a part starts in, n-grams, edges of texts among them) for parts of some bytes; a long text has many."""
     at, end, gap = 0, int(edges[-1]), ORDER - 1
     while at < end:
         to = min(at + _PART, end)
@@ -111,12 +131,12 @@ def asked(keys: np.ndarray) -> np.ndarray:
     """Sorted record keys that the probabilities of these distinct n-grams need."""
     suffixes = {ORDER: keys}  # sorted, and so are their contexts
     for order in range(ORDER - 1, 0, -1):
-        suffixes[order] = np.unique(suffixes[order + 1] & ((1 << SYMBOL * order) - 1))
+        suffixes[order] = _unique(suffixes[order + 1] & ((1 << SYMBOL * order) - 1))
     out = []
     for order in range(ORDER + 1):
         found = [_context(suffixes[order + 1], order + 1)] if order < ORDER else []
-        found = [c[np.concatenate([[True], c[1:] != c[:-1]])] if len(c) else c for c in found] + ([_suffix(suffixes[order], order)] if order else [])
-        out.append(np.unique(np.concatenate(found)) if len(found) > 1 else found[0])
+        found = [c[_first(c)] for c in found] + ([_suffix(suffixes[order], order)] if order else [])
+        out.append(_unique(np.concatenate(found)) if len(found) > 1 else found[0])
     return np.concatenate(out)
 
 
@@ -133,10 +153,16 @@ def discounts(of: list[int]) -> tuple[float, float, float]:
 def log_probabilities(keys: np.ndarray, known: np.ndarray, records: np.ndarray, cuts: list[tuple[float, float, float]]) -> np.ndarray:
     """Natural logarithms of the probabilities of n-grams. ``known`` are sorted record keys, ``records`` their rows of _FIELDS (zeros where
     the model has none), ``cuts`` the discounts by order."""
-    p = np.full(len(keys), 1 / 256)
+    grams, longer = {ORDER: keys}, {}  # the distinct n-grams of each order; where those of the next order have their last symbols among them
+    for order in range(ORDER - 1, 0, -1):
+        grams[order], longer[order] = np.unique(grams[order + 1] & ((1 << SYMBOL * order) - 1), return_inverse=True)
+    p = np.full(len(grams[1]), 1 / 256)
     for order, d in enumerate(cuts, 1):
-        own = records[np.searchsorted(known, _suffix(keys, order)), 0]
-        total, once, twice, more = records[np.searchsorted(known, _context(keys, order)), 1:].T
+        p = p[longer[order - 1]] if order > 1 else p
+        own = records[np.searchsorted(known, _suffix(grams[order], order)), 0]
+        context = _context(grams[order], order)
+        new = _first(context)  # sorted n-grams of one context are neighbours
+        total, once, twice, more = records[np.searchsorted(known, context[new])[np.cumsum(new) - 1], 1:].T
         left = np.where(own > 0, own - np.array([0.0, *d])[np.minimum(own, 3)], 0.0)
         p = np.where(total > 0, (left + (d[0] * once + d[1] * twice + d[2] * more) * p) / np.maximum(total, 1), p)
     return np.log(p)
@@ -148,13 +174,19 @@ def losses(raw: np.ndarray, edges: np.ndarray, keys: np.ndarray, logs: np.ndarra
     for first, grams, inner in _parts(raw, edges):
         sizes = np.diff(inner)
         some = np.flatnonzero(sizes)
-        out[first + some] -= np.add.reduceat(logs[np.searchsorted(keys, grams)], inner[some])
+        bits = (len(grams) - 1).bit_length()
+        order = np.sort(grams << bits | np.arange(len(grams)))  # n-grams with their places: each distinct one is searched once, in order
+        grams, places = order >> bits, order & ((1 << bits) - 1)
+        new = _first(grams)
+        each = np.empty(len(grams))
+        each[places] = logs[np.searchsorted(keys, grams[new])][np.cumsum(new) - 1]
+        out[first + some] -= np.add.reduceat(each, inner[some])
     return out
 
 
 def _distinct(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    parts = [np.unique(grams) for _, grams, _ in _parts(raw, edges)]
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *parts]))
+    parts = [_unique(grams) for _, grams, _ in _parts(raw, edges)]
+    return _unique(np.concatenate([np.zeros(0, np.int64), *parts]))
 
 
 def _pack(table: pa.Table) -> bytes:
@@ -226,8 +258,8 @@ def count_ngrams(chunks: DataFrame, at: int) -> DataFrame:
         for batch in batches:
             for payload in batch.column(0):
                 for fold, pairs in held.items():
-                    pairs += [np.unique(grams, return_counts=True) for _, grams, _ in _parts(*_texts(payload, at, fold))]
-                    if len(pairs) >= 16:
+                    pairs += [_counted(grams) for _, grams, _ in _parts(*_texts(payload, at, fold))]
+                    if len(pairs) >= 64:
                         pairs[:] = [add_up(pairs)]
         for fold, pairs in held.items():
             keys, n = add_up(pairs) if pairs else (np.zeros(0, np.int64),) * 2
@@ -271,6 +303,12 @@ def _shard(keys, shards: int):
     return keys % 1_000_003 % shards
 
 
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of record keys, shard by shard and in order within each, and the shards' edges among them."""
+    where = _shard(keys, shards).astype(np.min_scalar_type(shards - 1))
+    return np.argsort(where, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(where, minlength=shards))])
+
+
 def _shrink(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, compressed."""
     return np.int64(len(keys)).tobytes() + pa.compress(np.diff(keys, prepend=0).astype("<i8").reshape(-1, 1).view(np.uint8).T.tobytes(), "zstd", asbytes=True)
@@ -292,8 +330,8 @@ def answers(chunks: DataFrame, at: int, records: DataFrame, shards: int, models:
                 rows = []
                 for model in models:
                     wanted = asked(_distinct(*_texts(payload, at, model)))
-                    where = _shard(wanted, shards)
-                    rows += [(s, chunk, model, _shrink(wanted[where == s])) for s in np.unique(where).tolist()]
+                    places, ends = _by_shard(wanted, shards)
+                    rows += [(s, chunk, model, _shrink(wanted[places[ends[s] : ends[s + 1]]])) for s in np.flatnonzero(np.diff(ends)).tolist()]
                 yield pa.RecordBatch.from_pylist([dict(zip(("shard", "chunk", "model", "keys"), r, strict=True)) for r in rows], schema=sent)
 
     def answer(pdf, known):
@@ -337,9 +375,9 @@ def scored(chunks: DataFrame, at: int, fields: list[StructField], given: DataFra
                     keys = _distinct(raw, edges)
                     # a model's answers are for the keys that were asked of it, in order of key within each shard
                     known = asked(keys if model == fold else _distinct(*_texts(payload, at, model)))
-                    records, where = np.zeros((len(known), len(_FIELDS)), np.int64), _shard(known, shards)
+                    records, (places, ends) = np.zeros((len(known), len(_FIELDS)), np.int64), _by_shard(known, shards)
                     for shard, (found, body) in by_model.get(model, {}).items():
-                        mine = np.flatnonzero(where == shard)
+                        mine = places[ends[shard] : ends[shard + 1]]
                         mine = mine[np.unpackbits(np.frombuffer(found, np.uint8), count=len(mine)).astype(bool)]
                         body = pa.decompress(body, 8 * len(_FIELDS) * len(mine), "zstd", asbytes=True)
                         records[mine] = np.frombuffer(body, np.int64).reshape(len(_FIELDS), len(mine)).T
@@ -393,7 +431,7 @@ def judge(
     spark = docs.sparkSession
     text, parallel = F.col(text_col).cast("string"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunk_bytes = chunk_bytes or min(CHUNK_BYTES, max(_PART, size // (4 * parallel)))  # a small input still makes work for all cores
+    chunk_bytes = chunk_bytes or min(CHUNK_BYTES, max(_LEAST_CHUNK, size // (4 * parallel)))  # a small input still makes work for all cores
     fold = F.pmod(F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 6), 16, 10).cast("int"), F.lit(FOLDS))
     at, loss, length, lang, limit = docs.columns.index(text_col), *fresh(docs, "loss", "size", "language", "limit")
     chunks = chunked(docs, text_col, F.when(F.col(trusted_col), fold).otherwise(_ALL).cast("int"), chunk_bytes, max(parallel, size // BUCKET_BYTES))

@@ -181,3 +181,27 @@ def test_answers_of_folds_go_before_those_of_all_are_written(spark, monkeypatch)
     rows = [(i, f"text number {i} with some words", "en", i % 4 > 0) for i in range(40)]
     assert quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, trusted boolean")).count() == 40
     assert steps == [("written", {0, 1}), ("gone", None), ("written", {-1})]
+
+
+def test_searches_follow_distinct_ngrams_and_not_bytes(monkeypatch):
+    draw = np.random.default_rng(2)
+    raw, edges = edges_of(["".join(draw.choice(list("abcdé"), n)) for n in (700_000, 0, 3, 300_000)])  # the first is of several parts
+    keys, grams = quality._distinct(raw, edges), quality.ngrams(raw, edges)
+    assert keys.tolist() == sorted(set(grams.tolist()))
+    known, searched, search = quality.asked(keys), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: searched.append(np.size(v)) or search(a, v, *more, **named))
+    logs = quality.log_probabilities(keys, known, np.ones((len(known), len(quality._FIELDS)), np.int64), [(0.5, 0.5, 0.5)] * quality.ORDER)
+    assert sum(searched) <= 2 * len(known)
+    searched.clear()
+    each = quality.losses(raw, edges, keys, logs)
+    assert sum(searched) < len(raw) // 10
+    want = -logs[search(keys, grams)]
+    assert np.allclose(each, [want[a:b].sum() for a, b in zip(edges[:-1], edges[1:], strict=True)], rtol=1e-12)
+
+
+@pytest.mark.parametrize("shards", [1, 7, 300])
+def test_keys_are_dealt_to_shards_in_order(shards):
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 5000))
+    places, ends = quality._by_shard(keys, shards)
+    for shard in range(shards):
+        assert np.array_equal(places[ends[shard] : ends[shard + 1]], np.flatnonzero(quality._shard(keys, shards) == shard))
